@@ -1,0 +1,479 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from gridquarry.llm import byte_bpe, common, decontam, html_extract, near_dedup, quality, queries, secrets, token_counts, token_files, toxicity, url_filters
+from oracle import compare
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, "", "en", "a", 0),
+    (2, None, "en", "a", None),
+    (3, "  \t\n ", None, None, 5),
+    (4, "one two", "en", "b", 7),
+    (5, "One TWO", "en", "b", 7),
+    (6, "x" * 200_000, "en", "b", 200_000),
+    (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9 " * 3000, "de", "b", 1),
+    (8, "w1 w2 w3 w4 w5 w6 w7 w8 w9 " * 3000, "de", "b", 1),
+    (9, "Ünï çødé 数据     \x1c \U0001f600 'll 12345", "xx", "c", 3),
+    (10, "one two", "en", "b", 7),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    n, bad = compare(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
+    assert n and not bad
+
+
+# ---- words and components -----------------------------------------------------------------------------------------
+
+
+def test_word_hashes_agree_with_words():
+    rng = random.Random(1)
+    for size in (0, 1, 50, 5000, 200_000):
+        text = "".join(rng.choice("ab \t\n\x0bé c") for _ in range(size)).encode()
+        words = text.split()
+        hashes = common.word_hashes(text)
+        assert len(hashes) == len(words)
+        by = {}
+        for w, h in zip(words, hashes.tolist()):
+            assert by.setdefault(w, h) == h
+        assert len(set(by.values())) == len(by)
+    long = b"z" * 150_000
+    assert len(set(common.word_hashes(long + b" " + long + b" a").tolist())) == 2
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(4000, 4100)]
+    parent = list(range(6000))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    got = {r[0]: r[1] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    seen = {x for e in edges for x in e}
+    assert all(got.get(x, x) == root(x) for x in seen)
+    assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# ---- 1 ------------------------------------------------------------------------------------------------------------
+
+
+def test_url_filters(spark):
+    at = lambda s: F.to_timestamp(F.lit(s))
+    captures = spark.sql(
+        """SELECT * FROM VALUES (1, 'http://a.b.example.org/ads/x', timestamp'2024-03-05'), (2, 'http://a.b.example.org/ads/x', timestamp'2024-01-01'),
+        (3, 'https://user@OTHER.org:80/p', timestamp'2024-03-05'), (4, NULL, timestamp'2024-03-05'), (5, 'no url', timestamp'2024-03-05'), (6, 'http://example.org', NULL),
+        (7, 'http://xexample.org/', timestamp'2024-03-05'), (1, 'http://a.b.example.org/ads/x', timestamp'2024-03-05') AS t(page_id, url, fetched)"""
+    ).withColumn("action", F.lit("clash"))
+    entries = spark.sql(
+        """SELECT * FROM VALUES ('example.org', 'block', timestamp'2024-02-01'), ('example.org', 'allow', timestamp'2024-04-01'), ('other.org', 'allow', timestamp'2024-01-01'), ('other.org', 'block', timestamp'2024-01-01'),
+        ('a.b.example.org/ads', 'allow', timestamp'2024-03-01'), (NULL, 'block', timestamp'2020-01-01'), ('x', NULL, timestamp'2020-01-01') AS t(key, action, since)"""
+    )
+    rows = sorted((r["page_id"], r["matched_key"], r["allowed"]) for r in url_filters.filtered(captures, entries).na.fill("").collect())
+    assert rows == [(1, "a.b.example.org/ads", True)] * 2 + [(2, "", True), (3, "other.org", False), (4, "", True), (5, "", True), (6, "", True), (7, "", True)]
+    assert url_filters.filtered(captures.limit(0), entries).count() == 0
+    assert url_filters.filtered(captures, entries.limit(0)).where("NOT allowed").count() == 0
+
+
+# ---- 2 ------------------------------------------------------------------------------------------------------------
+
+
+def test_html_of_the_tables(spark):
+    """The tables' pages hold their text in one article of a heading and paragraphs."""
+    import html
+
+    n = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = r["html"].partition("<article>")[2].partition("</article>")[0]
+        parts = re.split(r"</?(?:p|h1)>", body)
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in parts]
+        assert html_extract.main_text(r["html"]) == "\n".join(w for w in want if w), r["page_id"]
+        n += 1
+    assert n
+
+
+PAGE = """<!doctype html><html><head><title>T</title><script>if (a<b) x="<p>no</p>"</script></head><body>
+<header class="site-header"><a href=/>Home</a></header><div id=menu><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>
+<div class="cookie-notice">We use cookies, accept them.</div>
+<div class="content"><h1>A&nbsp;title &amp; more</h1><p>First paragraph, with <b>bold</b> and <a href=x>a link</a>, is long enough to count.
+<p>Second paragraph:<br>it has a break, an entity &eacute; and &#x41;.<ul><li>An item of the article, also text.</ul>
+<form><label>Your name</label><input></form><div class="ad-box">Buy now!</div><style>p{}</style></div>
+<aside>Related stories, many of them.</aside><section id="comments"><h2>Comments</h2><p>I, a reader, disagree with all of this text, at length.</p></section>
+<footer>&copy; 2024</footer></body></html>"""
+
+
+def test_html_rules():
+    assert html_extract.main_text(PAGE).split("\n") == [
+        "A title & more",
+        "First paragraph, with bold and a link, is long enough to count.",
+        "Second paragraph: it has a break, an entity é and A.",
+        "An item of the article, also text.",
+    ]
+
+
+def test_html_odd(spark):
+    pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "<<<a<b <!-- x"), (5, "u", "plain text"), (6, "u", "<a" * 50_000), (7, "u", "<div>" * 3000 + "x"), (8, None, "<article><p>" + "word " * 100_000 + "</article>"), (8, None, "<article><p>a</p></article>"), (9, "u", "<a href='x>y</a> <p>t\x00</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
+    got = html_extract.extracted(df).collect()
+    assert len(got) == len(pages) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert [r["text"] for r in got if r["page_id"] in (1, 2, 3)] == ["", "", ""]
+    assert next(r["text"] for r in got if r["page_id"] == 5) == "plain text"
+    assert max(r["n_chars"] for r in got) == 499_999
+    assert html_extract.extracted(df.limit(0)).count() == 0
+
+
+# ---- 3 ------------------------------------------------------------------------------------------------------------
+
+
+def brute_groups(rows, k=4, percent=80):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if sets[a] and sets[b]:
+                common_ = len(sets[a] & sets[b])
+                if 100 * common_ >= percent * (len(sets[a]) + len(sets[b]) - common_):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def near_copies(n, seed=3):
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_dedup(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 4_000_000 if block > 7 else 900)
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(100 + i, t) for i, t in near_copies(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(df, 4).collect()}
+    assert got == brute_groups(rows)
+    assert near_dedup.groups(df.limit(0)).count() == 0
+    assert near_dedup.groups(spark.createDataFrame([(None, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")).count() == 3
+
+
+def test_bit_estimates():
+    rng = np.random.default_rng(4)
+    for share in (0.0, 0.5, 0.8, 1.0):
+        both = rng.integers(1, 1 << 63, 2000, dtype=np.uint64)
+        n = int(2000 * share)
+        a, b = np.r_[both[:n], rng.integers(1, 1 << 63, 2000 - n, dtype=np.uint64)], np.r_[both[:n], rng.integers(1, 1 << 63, 2000 - n, dtype=np.uint64)]
+        sig = [np.frombuffer(near_dedup.signature(x)[0], np.uint64) for x in (a, b)]
+        want = n / (4000 - n)
+        assert abs(near_dedup.similarity(sig[0], sig[1][None, :])[0] - want) < 0.16
+
+
+# ---- 4 ------------------------------------------------------------------------------------------------------------
+
+
+def test_decontamination(spark, odd):
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice((3, 5, 9, 30, 60, 200))))) for i in range(30)] + [(30, None), (31, " "), (32, "one TWO")]
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    for i in range(80):
+        w = [word() for _ in range(rng.choice((5, 50, 5000)))]
+        item = (items[rng.randrange(30)][1]).split()
+        if rng.random() < 0.5:
+            item = [x if rng.random() > 0.03 else word() for x in item]
+        at = rng.randrange(len(w))
+        docs.append((1000 + i, " ".join(w[:at] + item + w[at:]).upper()))
+    want = set()
+    for d, t in docs:
+        have = decontam.shingles_of((t or "").encode(), 5)
+        for i, x in items:
+            s = decontam.shingles_of((x or "").encode(), 5)
+            if s and 100 * len(s & have) >= 80 * len(s):
+                want.add((d, i, len(s & have), len(s)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (50_000, 4):
+        decontam.BLOCK = block
+        assert {tuple(r) for r in decontam.contained(df, it).collect()} == want and len(want) > 40
+    decontam.BLOCK = 50_000
+    assert decontam.contained(df.limit(0), it).count() == 0 and decontam.contained(df, it.limit(0)).count() == 0
+
+
+# ---- 5 ------------------------------------------------------------------------------------------------------------
+
+
+def test_rollup(spark):
+    cols = "doc_id long, op string, source string, lang string, tokenizer string, n_tokens long, seq int"
+    rollup = token_counts.Rollup(spark, common.scratch_path(spark, "test-rollup"))
+    assert rollup.totals().count() == 0
+    one = spark.createDataFrame([(1, "upsert", "a", "en", "t", 5, 0), (2, "upsert", "a", None, "t", 7, 0), (3, "upsert", "b", "en", "t", None, 0), (None, "upsert", "b", "en", "t", 9, 0), (1, "upsert", "a", "en", "t", 6, 1)], cols)
+    assert rollup.commit("1", one) and not rollup.commit("1", one)
+    two = spark.createDataFrame([(1, "delete", None, None, "t", None, 0), (2, "upsert", "b", "de", "t", 8, 0), (9, "delete", "a", "en", "t", 1, 0)], cols)
+    assert rollup.commit("2", two) and not rollup.commit("2", two)
+    assert rollup.commit("3", two.limit(0))
+    got = sorted(tuple(r) for r in rollup.totals().collect())
+    assert got == [("b", "de", "t", 1, 8), ("b", "en", "t", 1, 0)]
+    # a batch that failed before its marker was written is not read, and can be committed again
+    rollup.spark.createDataFrame([(5, "t", "z", "en", 1, 100)], token_counts.LEDGER).write.parquet(f"{rollup.path}/ledger/4")
+    assert sorted(tuple(r) for r in rollup.totals().collect()) == got
+    assert rollup.commit("4", spark.createDataFrame([(3, "delete", "b", "en", "t", 0, 0)], cols))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("b", "de", "t", 1, 8)]
+
+
+def test_token_counts(spark, odd):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.counted(odd, path, public_tokenizers.PATTERN, "v").collect()}
+    enc = reference_encoding()
+    assert got == {r[0]: len(enc.encode_ordinary(r[1] or "")) for r in ODD}
+
+
+# ---- 6 ------------------------------------------------------------------------------------------------------------
+
+
+def reference_encoding():
+    import base64
+
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_of_the_tables(spark, docs, odd):
+    enc = reference_encoding()
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for df in (docs, odd):
+        texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+        rows = byte_bpe.digests(df, path, public_tokenizers.PATTERN).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            ids = enc.encode_ordinary(texts[r["doc_id"]])
+            assert r["n_tokens"] == len(ids)
+            assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_bpe_random():
+    codec, enc = byte_bpe.loaded(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), reference_encoding()
+    rng = random.Random(6)
+    pools = ["abcdefghij  \n", "éßñü数据データ한국어עברית", " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85   　x", "0123456789٣४½", "'stremdvl ", "!?.,;:#$%&*()_+-=<>", "\U0001f600‍️́ɐ〇▁"]
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(60)))
+        ids = codec.encode(text)
+        assert ids == enc.encode_ordinary(text), repr(text)
+        assert codec.decode(ids) == text.encode()
+
+
+def test_bpe_columns(spark, odd):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = byte_bpe.encoded(odd.withColumn("IDS", F.lit("clash")), path, public_tokenizers.PATTERN)
+    assert out.columns == [*odd.columns, "ids"]
+    back = {r["doc_id"]: bytes(r["bytes"]).decode() for r in byte_bpe.decoded(out, path, public_tokenizers.PATTERN).collect()}
+    assert back == {r[0]: r[1] or "" for r in ODD}
+    assert byte_bpe.encoded(empty(spark), path, public_tokenizers.PATTERN).count() == 0
+
+
+# ---- 7 ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files(spark, docs, odd, encoding):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    both = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 100).union(odd.select("doc_id", "text"))
+    path = common.scratch_path(spark, "test-files")
+    token_files.write(both, path, public_tokenizers.path("word_bpe_49k.json"), encoding=encoding, files=5)
+    got = sorted(tuple(r) for r in token_files.checksums(spark, path).collect())
+    start, want = 0, []
+    for i, t in sorted((r["doc_id"], r["text"] or "") for r in both.collect()):
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+    scan = token_files.read(spark, path, ("doc_id", "n_tokens"))._jdf.queryExecution().toString()
+    assert "ids" not in scan.split("ReadSchema")[-1]
+    token_files.write(both.limit(0), path, public_tokenizers.path("word_bpe_49k.json"))
+    assert token_files.checksums(spark, path).count() == 0
+
+
+# ---- 8 ------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    grades = labels.selectExpr("doc_id", "CASE WHEN toxic = 0 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS grade")
+    fit, held = grades.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
+    model = toxicity.trained(docs, fit)
+    assert list(model.cuts) == sorted(model.cuts) and len(model.cuts) == 2
+    hit = [r["toxic_"] == bool(r["toxic_label"]) for r in toxicity.graded(docs, model).withColumnRenamed("toxic", "toxic_").join(held.withColumnRenamed("toxic", "toxic_label"), "doc_id").collect()]
+    assert len(hit) > 50 and sum(hit) / len(hit) > 0.9
+
+
+def test_toxicity_odd(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, grade int")
+    rows = toxicity.graded(odd, toxicity.trained(odd, none)).collect()
+    assert len(rows) == len(ODD) and not any(r["toxic"] for r in rows)
+    one = spark.createDataFrame([(4, 0), (6, 2), (9, None), (None, 1), (4, 0)], "doc_id long, grade int")
+    assert toxicity.graded(odd, toxicity.trained(odd, one)).count() == len(ODD)
+    assert toxicity.graded(odd.limit(0), toxicity.trained(odd, one)).count() == 0
+
+
+# ---- 9 ------------------------------------------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.A):
+        if len(m[1]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_base_spans(docs):
+    rng = random.Random(7)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "=", " = ", ":", '"', "'", " ", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "abc", "X" * 12, "é\U0001f600", "ſecret", "toKen", "\n", ".", "-", "deadbeefdeadbeefdead"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    for t in texts + [r["text"] for r in docs.collect()]:
+        assert secrets.base_spans(t) == brute_spans(t), repr(t)
+
+
+def brute_viterbi(field, run):
+    import itertools
+
+    best = None
+    for tags in itertools.product(range(3), repeat=len(run)):
+        s, last = 0.0, 0
+        for f, t in zip(run, tags):
+            s += field.emit[t, f].sum() + field.move[last, t]
+            last = t
+        s += field.move[last, 0]
+        if best is None or s > best[0]:
+            best = (s, tags)
+    return best[0], list(best[1])
+
+
+def test_field(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        field = secrets.Field(rng.normal(size=(3, secrets.DIMS)), rng.normal(size=(3, 3)))
+        run = [np.unique(rng.integers(0, secrets.DIMS, 6)) for _ in range(rng.integers(1, 6))]
+        assert field.viterbi(run) == brute_viterbi(field, run)[1]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sample = [w for r in docs.orderBy("doc_id").collect() for w in secrets.windows(r["text"])]
+    field = secrets.fitted(sample[::2])
+    tags = [(a, b) for run, tags in sample[1::2] for a, b in zip(field.viterbi(run), tags)]
+    assert len(tags) > 20 and sum(a == b for a, b in tags) / len(tags) > 0.9
+
+
+def test_scan(spark, docs, odd):
+    both = docs.select("doc_id", "text").union(odd.selectExpr("doc_id + 100000", "text")).withColumn("spans", F.lit("clash"))
+    texts = {r["doc_id"]: r["text"] or "" for r in both.collect()}
+    rows = secrets.scanned(both).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_spans(texts[r["doc_id"]])
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        named = ",".join(f"{secrets.KINDS[k]}:{i}:{j}" for i, k, j in base)
+        assert r["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("crf")] == [s for s in named.split(",") if s]
+    out = secrets.redacted(both)
+    assert out.columns == both.columns
+    for r in out.collect():
+        assert not any(texts[r["doc_id"]][i:j] in (r["text"] or "") for i, k, j in brute_spans(texts[r["doc_id"]]))
+    assert secrets.scanned(both.limit(0)).count() == 0
+
+
+# ---- 10 -----------------------------------------------------------------------------------------------------------
+
+
+def brute_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    at = {}
+    for i in range(len(words) - 7):
+        at.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {i + o for starts in at.values() if len(starts) > 1 for i in starts for o in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures(spark, odd):
+    rng = random.Random(9)
+    rows = [(1000 + i, "".join(rng.choice(["a", "b", " ", " ", "\n", "#", "é ", "\x0b", " ", "abc def ghi jkl mno pqr stu vwx yz "]) for _ in range(rng.randrange(200)))) for i in range(60)]
+    rows += [(r[0], r[1]) for r in ODD] + [(2000, "a b c d e f g h"), (2001, "a " * 9), (2002, "a " * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    got = {r["doc_id"]: tuple(r[m] for m in quality.MEASURES) for r in quality.measured(df).collect()}
+    assert got == {i: brute_measures(t) for i, t in rows}
+
+
+def test_hosts(spark):
+    plain = " ".join(f"word{i}" for i in range(40))
+    junk = plain + "\n" + plain[:150] + "\nx y\nx y"
+    rows = [(i, "good", plain) for i in range(30)] + [(100 + i, "bad", junk) for i in range(30)] + [(200, "bad", plain), (201, "good", junk), (202, None, plain), (203, "good", "few words"), (204, "bad", None)]
+    out = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i]["kept"] for i in [*range(30), 200, 202])  # clean documents stay, whatever their host
+    assert out[203]["base_failed"] and out[204]["base_failed"]
+    assert not any(out[100 + i]["kept"] for i in range(30)) and out[201]["kept"] == (not out[201]["base_failed"])
+    assert quality.judged(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_word_memory():
+    """Texts by way of remembered words, against the library on the whole text."""
+    own = token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(10)
+    pools = ["abcdefghij  \n", "ABCéßñüÀÖ×÷ªµº²³¼", " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85 ", "0123456789", "'stremdvlSTM ", "!?.,;:#$%&*()_+-=<>", "\x00\x01\x7f\x80\xad", "数א\U0001f600İΣς́"]
+    for i in range(3000):
+        text = "".join(rng.choice(rng.choice(pools[: 7 + i % 2])) for _ in range(rng.randrange(60)))
+        want = own.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), np.uint32).tolist() == want, repr(text)
