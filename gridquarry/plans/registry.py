@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gridquarry.plans import catalog, oracles
+
+QUERIES = dict(catalog.QUERIES)
+ORACLE_SQL = dict(oracles.ORACLE_SQL)
