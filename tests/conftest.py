@@ -1,3 +1,4 @@
+import os
 import pathlib
 import sys
 
@@ -11,4 +12,4 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 def spark():
     from gridquarry.sources.session import session
 
-    return session(cores=4, shuffle_partitions=4)
+    return session(cores=os.environ.get("TEST_CPUS", "4"), shuffle_partitions=4)
