@@ -212,3 +212,88 @@ def second_columns(pdfs: DataFrame, regions: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "table_no", "plumber_cols"])
 
     return pdfs.join(wanted, "doc_id").mapInPandas(run, "doc_id bigint, table_no int, plumber_cols int")
+
+
+def _image(png: bytes):
+    import io
+
+    from PIL import Image
+
+    return Image.open(io.BytesIO(bytes(png))).convert("RGB")
+
+
+def _detector():
+    from paddlex import create_model
+
+    return create_model("RT-DETR-L_wireless_table_cell_det")
+
+
+def _reader():
+    from paddleocr import PaddleOCR
+
+    return PaddleOCR(lang="en", use_doc_orientation_classify=False, use_doc_unwarping=False, use_textline_orientation=False)
+
+
+def _texts(image) -> list[str]:
+    import numpy as np
+
+    found = _model("ocr", _reader).predict(np.asarray(image)[:, :, ::-1])
+    return [t for r in found for t in (r.get("rec_texts") or ())]
+
+
+def detected_cells(images: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, page, box_no, x1, y1, x2, y2, score of the cells found in page images (doc_id, page, png)."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in frames:
+            for doc_id, page, png in zip(pdf["doc_id"], pdf["page"], pdf["png"]):
+                found = _model("cells", _detector).predict(np.asarray(_image(png))[:, :, ::-1], threshold=threshold)
+                boxes = [(*map(float, b["coordinate"][:4]), float(b["score"])) for r in found for b in r["boxes"]]
+                yield pd.DataFrame([(doc_id, page, k, *b) for k, b in enumerate(boxes)], columns="doc_id page box_no x1 y1 x2 y2 score".split())
+
+    return images.mapInPandas(run, "doc_id bigint, page int, box_no int, x1 double, y1 double, x2 double, y2 double, score double")
+
+
+def image_texts(images: DataFrame) -> DataFrame:
+    """doc_id, page, text: all text of page images, for keywords."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(text=[" ".join(_texts(_image(p))) for p in pdf["png"]])[["doc_id", "page", "text"]]
+
+    return images.mapInPandas(run, "doc_id bigint, page int, text string")
+
+
+def cell_reads(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """doc_id, page, box_no, conservative, enhanced, means, stds: two reads of each box (plain with narrow margins;
+    wider on the left and twice as large), and its colour channels' means and deviations for swatches."""
+    todo = boxes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("box_no", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    columns = "doc_id page box_no conservative enhanced means stds".split()
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in frames:
+            for doc_id, page, png, own in zip(pdf["doc_id"], pdf["page"], pdf["png"], pdf["boxes"]):
+                image, rows = _image(png), []
+                for b in own:
+                    x1, y1, x2, y2 = b["x1"], b["y1"], b["x2"], b["y2"]
+
+                    def crop(left, x1=x1, y1=y1, x2=x2, y2=y2, image=image):
+                        return image.crop((max(0, x1 - left), max(0, y1 - 2), x2 + 2, y2 + 2))
+
+                    large = crop(6)
+                    large = large.resize((2 * large.width, 2 * large.height), 1)  # Lanczos
+                    means = stds = None
+                    if x2 - x1 >= 6 and y2 - y1 >= 6:
+                        px = np.asarray(image.crop((x1 + 2, y1 + 2, x2 - 2, y2 - 2)).resize((16, 16)), float).reshape(-1, 3)
+                        means, stds = px.mean(0).tolist(), px.std(0).tolist()
+                    rows.append((doc_id, page, b["box_no"], " ".join(_texts(crop(2))), " ".join(_texts(large)), means, stds))
+                yield pd.DataFrame(rows, columns=columns)
+
+    schema = "doc_id bigint, page int, box_no int, conservative string, enhanced string, means array<double>, stds array<double>"
+    return images.join(todo, ["doc_id", "page"]).mapInPandas(run, schema)

@@ -389,3 +389,27 @@ def test_stream(spark, tmp_path):
 def test_adapters_need_their_libraries(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
     assert adapters.files(spark, str(tmp_path)).count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridquarry.__main__ import main
+
+    assert main([str(tmp_path / "none"), "--mode", "list"]) == 2
+    rows = [(1, 1, 0, 0, 0.0, 1, 0, "Fig. 1 Response"), (1, 1, 0, 1, 5.0, 1, 0, "see Table S2")]
+    at = tmp_path / "in"
+    spark.createDataFrame(rows, schemas.LINES).write.parquet(str(at / "lines"))
+    (tmp_path / "k.txt").write_text("# words\nresponse\n")
+    capsys.readouterr()
+    assert main([str(at), "--mode", "list", "--keywords-file", str(tmp_path / "k.txt")]) == 0
+    got = list(csv.reader(io.StringIO(capsys.readouterr().out)))
+    assert got == [schemas.CAPTION_COLUMNS, ["Fig. 1", "figure", "1", "yes", "28", "response", "Fig. 1 Response see Table S2"], ["Table S2", "table", "1", "no", "0", "response", ""]]
+    spark.createDataFrame([(1, 1, None)], "doc_id long, page int, native_px double").write.parquet(str(at / "pages"))
+    boxes = [(1, 1, i * 4 + j, j * 50.0, i * 20.0, j * 50.0 + 30, i * 20.0 + 12, 1.0, None) for i in range(6) for j in range(4)]
+    df = spark.createDataFrame(boxes, "doc_id long, page int, box_no int, x1 double, y1 double, x2 double, y2 double, score double, swatch string")
+    df.write.parquet(str(at / "boxes"))
+    df.select("doc_id", "page", "box_no", F.lit("1").alias("conservative"), F.lit("1").alias("enhanced")).write.parquet(str(at / "reads"))
+    spark.createDataFrame([], "doc_id long, page int, text string").write.parquet(str(at / "page_texts"))
+    assert main([str(at), "--mode", "figure", "-o", str(tmp_path / "out"), "--prefix", "run 1"]) == 0
+    assert (tmp_path / "out/run_1/1/p01_fig_1.csv").read_bytes().decode().split("\r\n")[0] == "1,1,1,1"
+    assert (tmp_path / "out/run_1/1/p01_fig_1_flags.csv").read_bytes().decode().split("\r\n")[0] == "agree,agree,agree,agree"
+    assert manifest.read_manifest(spark, str(tmp_path / "out/run_1/manifest")).where("query = 'figure:all'").count() == 2
