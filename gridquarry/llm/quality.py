@@ -19,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.llm.common import written
+
 WINDOW = 8
 #: Spaces that part words, as a Java character class.
 SPACE = "[\\x20\\x09-\\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICTS = ("base_failed", "host_failed", "kept")
 #: rule -> (SQL over the measures, most of a host's shrunk rate).
 SOFT = {
     "symbols": ("n_symbols > 0.1 * n_words", 0.25),
@@ -86,7 +89,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     at = "__measures"
     out = docs.withColumn(at, F.get(made, F.lit(0)))
-    kept = [out[c] for c in docs.columns if c not in MEASURES]
+    kept = [out[c] for c in docs.columns if c.lower() not in MEASURES]
     return out.select(*kept, *(F.col(f"{at}.{m}").alias(m) for m in MEASURES))
 
 
@@ -108,19 +111,23 @@ def host_rates(docs: DataFrame, host: str) -> DataFrame:
     return long.join(prior, "rule").withColumn("rate", rate).withColumn("bad", F.col("rate") > F.col("most"))
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """docs with the measures, base_failed, host_failed and kept."""
-    docs = measured(docs, text)
-    rates = host_rates(docs, host)
-    verdicts = rates.groupBy(F.col("host").alias("__host")).agg(
-        *(F.max(F.expr(f"rule = '{rule}' AND bad")).alias(f"__{rule}") for rule in SOFT)
+def judged(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """docs (their columns in keep, all by default) with the measures, base_failed, host_failed and kept.
+
+    The measures are taken once: they are written to the shared folder, and both the hosts' sums and the verdicts'
+    join read them there."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (*MEASURES, *VERDICTS)]
+    base = measured(docs, text).withColumn("__from", F.col(host)).select(*keep, "__from", *MEASURES)
+    base = written(base, "quality-measures")
+    rates = host_rates(base, "__from")
+    verdicts = rates.where("bad").groupBy(F.col("host").alias("__host")).agg(
+        *(F.max(F.expr(f"rule = '{rule}'")).alias(f"__{rule}") for rule in SOFT)
     )
-    out = docs.join(verdicts, docs[host].eqNullSafe(verdicts["__host"]), "left")
+    verdicts = written(verdicts, "quality-verdicts")  # of known size: few bad hosts are broadcast, many are joined by a shuffle
+    out = base.join(verdicts, base["__from"].eqNullSafe(verdicts["__host"]), "left")
     bad = " OR ".join(f"(coalesce(__{rule}, false) AND ({test}))" for rule, (test, _) in SOFT.items())
-    keep = [c for c in docs.columns if c not in ("base_failed", "host_failed", "kept")]
-    return out.select(*keep, F.expr(f"({BASE})").alias("base_failed"), F.expr(f"({bad})").alias("host_failed")).withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("host_failed")
-    )
+    out = out.select(*keep, *MEASURES, F.expr(f"({BASE})").alias("base_failed"), F.expr(f"({bad})").alias("host_failed"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
 #: The same in DuckDB.

@@ -131,7 +131,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality.judged(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+    return quality.judged(docs, keep=["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
 QUERIES = {
