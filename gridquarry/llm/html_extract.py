@@ -49,6 +49,10 @@ MARKS = frozenset(
     "masthead topbar cookie cookies notice consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply "
     "replies related recommended share sharing social widget toolbar pagination pager copyright disclaimer alert skip search".split()
 )
+ENDS = ("nav", "menu", "sidebar", "footer", "banner", "comments", "popup")
+#: Words of reader comments, and words that only tell what an element has beside it ("with-sidebar").
+READERS = frozenset("comment comments reply replies respond".split())
+ABOUT = frozenset("has with no without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 
@@ -75,7 +79,10 @@ def _junk(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
             if key in ("class", "id"):
                 name = name or (value.split() or [""])[0]
                 words = {w.lower() for w in _WORD.findall(value)}
-                if words & MARKS or "header" in words and not inside and not words & {"article", "entry", "post", "story"}:
+                if words & ABOUT or tag in ("article", "main") and not words & READERS:
+                    continue
+                marked = words & MARKS or any(w.endswith(ENDS) for w in words)
+                if marked or "header" in words and not inside and not words & {"article", "entry", "post", "story"}:
                     return True, name
     return False, name
 

@@ -14,21 +14,9 @@ from pyspark.sql import functions as F
 
 from gridquarry.llm import byte_bpe, common, decontam, html_extract, near_dedup, quality, queries, secrets, token_counts, token_files, toxicity, url_filters
 from oracle import compare
+from llm_cases import DOCS, ODD, brute_groups, brute_spans, reference_encoding
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [
-    (1, "", "en", "a", 0),
-    (2, None, "en", "a", None),
-    (3, "  \t\n ", None, None, 5),
-    (4, "one two", "en", "b", 7),
-    (5, "One TWO", "en", "b", 7),
-    (6, "x" * 200_000, "en", "b", 200_000),
-    (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9 " * 3000, "de", "b", 1),
-    (8, "w1 w2 w3 w4 w5 w6 w7 w8 w9 " * 3000, "de", "b", 1),
-    (9, "Ünï çødé 数据     \x1c \U0001f600 'll 12345", "xx", "c", 3),
-    (10, "one two", "en", "b", 7),
-]
 
 
 @pytest.fixture(scope="module")
@@ -144,6 +132,13 @@ def test_html_rules():
     ]
 
 
+def test_html_names():
+    text = "A long enough sentence, with commas, for the article of this page."
+    for before, after in (("<article class='post has-sidebar'>", "</article>"), ("<main id=main><div class='with-comments'>", "</div></main>"), ("<div class=story>", "</div>")):
+        page = f"<body><div class=leftnav><a href=x>Menu entry</a></div>{before}<p>{text}</p>{after}<div id='userComments'><p>{text} Not so.</p></div><article class=comment><p>{text} I agree.</p></article></body>"
+        assert html_extract.main_text(page) == text, before
+
+
 def test_html_odd(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "<<<a<b <!-- x"), (5, "u", "plain text"), (6, "u", "<a" * 50_000), (7, "u", "<div>" * 3000 + "x"), (8, None, "<article><p>" + "word " * 100_000 + "</article>"), (8, None, "<article><p>a</p></article>"), (9, "u", "<a href='x>y</a> <p>t\x00</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
@@ -158,29 +153,6 @@ def test_html_odd(spark):
 # ---- 3 ------------------------------------------------------------------------------------------------------------
 
 
-def brute_groups(rows, k=4, percent=80):
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            if sets[a] and sets[b]:
-                common_ = len(sets[a] & sets[b])
-                if 100 * common_ >= percent * (len(sets[a]) + len(sets[b]) - common_):
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
-
-
 def near_copies(n, seed=3):
     rng = random.Random(seed)
     base = [f"v{rng.randrange(5000)}" for _ in range(120)]
@@ -277,16 +249,6 @@ def test_token_counts(spark, odd):
 # ---- 6 ------------------------------------------------------------------------------------------------------------
 
 
-def reference_encoding():
-    import base64
-
-    import tiktoken
-
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def test_bpe_of_the_tables(spark, docs, odd):
     enc = reference_encoding()
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -370,16 +332,6 @@ def test_toxicity_odd(spark, odd):
 # ---- 9 ------------------------------------------------------------------------------------------------------------
 
 
-def brute_spans(text):
-    out = []
-    for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.A):
-        if len(m[1]) >= 12:
-            out.append((m.start(), 0, m.end()))
-    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
-    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
-    return sorted(out)
-
-
 def test_base_spans(docs):
     rng = random.Random(7)
     parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "=", " = ", ":", '"', "'", " ", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "abc", "X" * 12, "é\U0001f600", "ſecret", "toKen", "\n", ".", "-", "deadbeefdeadbeefdead"]
