@@ -1,13 +1,13 @@
 """The catalog's queries as DuckDB statements, written apart from the operators.
 
-Folds that depend on all choices before them (attached captions, chains of tables, panel geometry) have none; they are
-tested against plain loops.
+Folds that depend on all choices before them are recursive queries or list reductions here.
 """
 
 from __future__ import annotations
 
 from gridquarry.functions import keywords as K
 from gridquarry.functions import text as T
+from gridquarry.operators.panel import SWATCHES
 from gridquarry.plans.catalog import SAMPLES, TEXTS, WORDS
 from gridquarry.sources.fixtures import with_fixtures
 
@@ -201,6 +201,67 @@ SELECT doc_id, table_no, r0, count(*) AS n FROM b GROUP BY ALL""",
 o AS (SELECT a.doc_id, a.table_no, a.r0, b.r0 + 2 AS i, count(*) AS n FROM a JOIN a b ON a.doc_id = b.doc_id AND a.table_no = b.table_no AND a.t = b.t GROUP BY ALL)
 SELECT doc_id, table_no, r0, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, table_no, r0 ORDER BY n DESC, i) AS k FROM o) WHERE k = 1""",
     "table_audit": f"WITH {AUDIT} SELECT doc_id, table_no, coverage, confidence, notes FROM au",
+    "stitched_tables": """WITH RECURSIVE o AS (SELECT doc_id, table_no, page, lower(header) AS h, regexp_matches(caption, '(?i)\\( *continued *\\)') AS said, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, table_no) AS n FROM fx_tables),
+r AS (SELECT doc_id, n, table_no, table_no AS head_no, CAST(0 AS INT) AS seq, '' AS reason, false AS drop_header, page, h FROM o WHERE n = 1
+  UNION ALL SELECT x.doc_id, x.n, x.table_no, CASE WHEN x.why <> '' THEN x.head_no ELSE x.table_no END, CASE WHEN x.why <> '' THEN x.seq + 1 ELSE 0 END, x.why, x.why <> '' AND x.same, x.page, CASE WHEN x.why <> '' THEN x.rh ELSE x.h END
+  FROM (SELECT o.*, r.head_no, r.seq, r.h AS rh, r.h = o.h AS same, CASE WHEN o.page - r.page > 1 THEN '' WHEN o.said THEN 'caption_continued' WHEN r.h = o.h THEN 'same_columns' ELSE '' END AS why FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1) x)
+SELECT doc_id, table_no, head_no, seq, reason, drop_header FROM r""",
+    "merged_rows": """WITH hd AS (SELECT doc_id, table_no, r0, bool_or(column_header) AS head FROM fx_cells GROUP BY ALL),
+cc AS (SELECT doc_id, table_no, r0, c0, y1 - y0 AS h FROM fx_cells JOIN hd USING (doc_id, table_no, r0) WHERE NOT no_box AND row_span = 1 AND NOT head AND y1 > y0),
+md AS (SELECT doc_id, table_no, c0, median(h) AS med FROM cc GROUP BY ALL HAVING count(*) >= 6),
+tl AS (SELECT cc.* FROM cc JOIN md USING (doc_id, table_no, c0) WHERE med > 0 AND h > 1.5 * med),
+ev AS (SELECT t.doc_id, t.table_no, t.c0, t.r0 FROM tl t JOIN cc o ON o.doc_id = t.doc_id AND o.table_no = t.table_no AND o.c0 = t.c0 AND o.r0 <> t.r0 GROUP BY ALL HAVING count(*) >= 4 AND median(o.h) > 0 AND (max(o.h) - min(o.h)) / median(o.h) <= 0.30),
+su AS (SELECT doc_id, table_no, r0 FROM ev GROUP BY ALL HAVING count(*) >= 2),
+wd AS (SELECT doc_id, page, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM fx_words),
+hi AS (SELECT c.doc_id, c.table_no, c.r0, c.c0, cy FROM fx_cells c JOIN su USING (doc_id, table_no, r0) JOIN wd ON wd.doc_id = c.doc_id AND wd.page = c.page AND NOT no_box AND cx BETWEEN x0 - 1 AND x1 + 1 AND cy BETWEEN y0 - 1 AND y1 + 1),
+gp AS (SELECT *, cy - lag(cy) OVER (PARTITION BY doc_id, table_no, r0, c0 ORDER BY cy) AS gap FROM hi),
+bd AS (SELECT doc_id, table_no, r0 FROM (SELECT DISTINCT doc_id, table_no, r0, c0 FROM gp WHERE gap > 3.0) GROUP BY ALL HAVING count(*) > 2),
+tx AS (SELECT DISTINCT doc_id, table_no, r0, replace(lower(text), ' ', '') AS t FROM fx_cells),
+ov AS (SELECT a.doc_id, a.table_no, a.r0, b.r0 + 2 AS i, count(*) AS n FROM tx a JOIN bd USING (doc_id, table_no, r0) JOIN tx b ON a.doc_id = b.doc_id AND a.table_no = b.table_no AND a.t = b.t GROUP BY ALL),
+bo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, table_no, r0 ORDER BY n DESC, i) AS k FROM ov) WHERE k = 1)
+SELECT c.doc_id, c.table_no, bo.i, 'merged_row?=row' || bo.i || ': ' || array_to_string(list_slice(list(trim(c.text) ORDER BY c0), 1, 4), ' | ') AS note FROM fx_cells c JOIN bo USING (doc_id, table_no, r0) GROUP BY c.doc_id, c.table_no, c.r0, bo.i""",
+    "panel_fill": f"""WITH b AS (SELECT panel_id, box_no, CAST(floor(y1 / 20) AS INT) AS i, CAST(floor(x1 / 60) AS INT) AS j, x2 - x1 AS w, y2 - y1 AS h, [score * 250, y1 % 200, x1 % 220] AS m, greatest(5.0, score * 40, 1.0) AS sd FROM fx_boxes),
+a(word, n, r, g, bl) AS (VALUES {', '.join(f"('{w}', {n}, {r}, {g}, {b})" for n, (w, r, g, b) in enumerate(SWATCHES))}),
+d AS (SELECT panel_id, box_no, word, row_number() OVER (PARTITION BY panel_id, box_no ORDER BY (r - m[1]) * (r - m[1]) + (g - m[2]) * (g - m[2]) + (bl - m[3]) * (bl - m[3]), n) AS k FROM b, a
+      WHERE w >= 6 AND h >= 6 AND sd <= 30 AND (list_max(m) - list_min(m) >= 25 OR list_min(m) <= 170)),
+s AS (SELECT b.*, d.word FROM b LEFT JOIN d ON d.panel_id = b.panel_id AND d.box_no = b.box_no AND d.k = 1),
+p AS (SELECT *, first_value(word) OVER (PARTITION BY panel_id, i, j ORDER BY box_no DESC) AS probe FROM s),
+c AS (SELECT panel_id, j FROM p GROUP BY panel_id, j HAVING avg(CASE WHEN probe IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.5),
+t AS (SELECT p.panel_id, i, p.j, box_no, CASE WHEN c.j IS NOT NULL AND word IS NOT NULL THEN word ELSE 't' || (box_no % 7) END AS t FROM p LEFT JOIN c ON c.panel_id = p.panel_id AND c.j = p.j)
+SELECT panel_id, i, j, list_reduce(list(t ORDER BY box_no), lambda v, x: CASE WHEN contains(v, x) THEN v ELSE v || ' ' || x END) AS value FROM t GROUP BY panel_id, i, j""",
+    "attached_captions": """WITH RECURSIVE cap AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY kind DESC, CASE WHEN no_rect THEN 0 ELSE y0 END, cap_no) AS n FROM fx_captions),
+r AS (SELECT DISTINCT doc_id, page, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS cand_no, CAST(NULL AS INT) AS cap_no FROM fx_captions
+  UNION ALL SELECT doc_id, page, n, CASE WHEN cand_no IS NULL THEN used ELSE list_append(used, cand_no) END, cand_no, cap_no FROM (
+    SELECT r.doc_id, r.page, c.n, r.used, c.cap_no, d.cand_no, row_number() OVER (PARTITION BY r.doc_id, r.page ORDER BY
+        CASE WHEN c.no_rect THEN 0 WHEN c.kind = 'table' THEN CASE WHEN d.y0 >= c.y1 - 4 THEN 0 ELSE 1 END ELSE CASE WHEN d.y1 <= c.y0 + 4 THEN 0 ELSE 1 END END,
+        CASE WHEN c.no_rect THEN 0 WHEN c.kind = 'table' THEN abs(d.y0 - c.y1) ELSE abs(c.y0 - d.y1) END, d.cand_no) AS k
+    FROM r JOIN cap c ON c.doc_id = r.doc_id AND c.page = r.page AND c.n = r.n + 1
+    LEFT JOIN fx_candidates d ON d.doc_id = r.doc_id AND d.page = r.page AND NOT list_contains(r.used, d.cand_no)) WHERE k = 1)
+SELECT doc_id, page, cand_no, cap_no FROM r WHERE cand_no IS NOT NULL""",
+    "panel_grid": f"""WITH {IOU_FOLD}, nm AS (SELECT k.panel_id, unnest(list_transform(kept, lambda b: b.n)) AS box_no FROM k),
+bx AS (SELECT f.* FROM fx_boxes f JOIN nm ON nm.panel_id = f.panel_id AND nm.box_no = f.box_no),
+{SPLIT.replace('FROM fx_boxes', 'FROM bx').strip()},
+kp AS (SELECT b.* FROM bx b JOIN m ON m.panel_id = b.panel_id LEFT JOIN w ON w.panel_id = b.panel_id WHERE NOT coalesce(w.gap > 2 * m.w AND (b.x1 + b.x2) / 2 >= w.cut, false)),
+ar AS (SELECT panel_id, median((x2 - x1) * (y2 - y1)) AS a FROM kp GROUP BY panel_id),
+fb AS (SELECT kp.*, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM kp JOIN ar USING (panel_id) WHERE (x2 - x1) * (y2 - y1) < 6 * a),
+md AS (SELECT panel_id, median(x2 - x1) AS mw, median(y2 - y1) AS mh FROM fb GROUP BY panel_id),
+xg AS (SELECT panel_id, cx, mw, cx - lag(cx) OVER (PARTITION BY panel_id ORDER BY cx) AS gap, row_number() OVER (PARTITION BY panel_id ORDER BY cx) AS n FROM fb JOIN md USING (panel_id)),
+xb AS (SELECT panel_id, cx, count(*) FILTER (gap > mw * 0.6) OVER (PARTITION BY panel_id ORDER BY n) AS band FROM xg),
+co AS (SELECT panel_id, list(c ORDER BY band) AS cols FROM (SELECT panel_id, band, avg(cx) AS c FROM xb GROUP BY ALL) GROUP BY panel_id),
+yg AS (SELECT panel_id, cy, mh, cy - lag(cy) OVER (PARTITION BY panel_id ORDER BY cy) AS gap, row_number() OVER (PARTITION BY panel_id ORDER BY cy) AS n FROM fb JOIN md USING (panel_id)),
+yb AS (SELECT panel_id, cy, count(*) FILTER (gap > mh * 0.6) OVER (PARTITION BY panel_id ORDER BY n) AS band FROM yg),
+pr AS (SELECT panel_id, band, avg(cy) AS c FROM yb GROUP BY ALL),
+pl AS (SELECT panel_id, list(c ORDER BY band) AS plain, median(g) AS pg FROM (SELECT *, c - lag(c) OVER (PARTITION BY panel_id ORDER BY band) AS g FROM pr) GROUP BY panel_id),
+fc AS (SELECT fb.panel_id, cy, cy - lag(cy) OVER (PARTITION BY fb.panel_id ORDER BY cy) AS d FROM fb JOIN md USING (panel_id) JOIN co USING (panel_id) WHERE abs(cx - cols[1]) <= mw * 0.6),
+yy AS (SELECT panel_id, list(cy ORDER BY cy) AS ys, median(d) FILTER (d > 1) AS p, count(*) FILTER (d > 1) AS n FROM fc GROUP BY panel_id),
+rw AS (SELECT panel_id, n, p, list_reduce(list_transform(ys, lambda y: [y]), lambda r, y: CASE WHEN y[1] - r[-1] < 0.5 * p THEN r
+         ELSE list_concat(r, list_transform(range(1, 1 + greatest(0, CAST(ceil((y[1] - r[-1]) / p - 1.5) AS BIGINT))), lambda q: r[-1] + q * p), y) END) AS made FROM yy),
+ge AS (SELECT md.panel_id, mw, cols, CASE WHEN n < 2 THEN plain ELSE made END AS rws, CASE WHEN n < 2 THEN coalesce(pg, mh) ELSE p END AS pitch FROM md JOIN co USING (panel_id) JOIN pl USING (panel_id) JOIN rw USING (panel_id)),
+rr AS (SELECT panel_id, CAST(unnest(range(len(rws))) AS INT) AS i, unnest(rws) AS ry FROM ge),
+cl AS (SELECT panel_id, CAST(unnest(range(len(cols))) AS INT) AS j, unnest(cols) AS kx FROM ge),
+ni AS (SELECT fb.panel_id, box_no, arg_min(i, abs(ry - cy) + i * 1e-12) AS i, min(abs(ry - cy)) AS dy FROM fb JOIN rr ON rr.panel_id = fb.panel_id GROUP BY ALL),
+nj AS (SELECT fb.panel_id, box_no, arg_min(j, abs(kx - cx) + j * 1e-12) AS j, min(abs(kx - cx)) AS dx FROM fb JOIN cl ON cl.panel_id = fb.panel_id GROUP BY ALL)
+SELECT ni.panel_id, ni.box_no, i, j FROM ni JOIN nj ON nj.panel_id = ni.panel_id AND nj.box_no = ni.box_no JOIN ge ON ge.panel_id = ni.panel_id WHERE dy <= 0.6 * pitch AND dx <= mw * 0.6""",
     "output_names": f"""WITH t AS (SELECT id, s, CASE WHEN id % 3 <> 0 THEN {norm_label('s')} END AS key FROM ({SAMPLES.rsplit(' AS t(', 1)[0]}) AS t(id, s)),
 n AS (SELECT id, s, CASE WHEN key IS NOT NULL THEN {put(SLUG, 'key')} ELSE printf('p%02d_t%d', id, id * 2) END AS table_id FROM t)
 SELECT id, table_id, printf('p%02d_%s.csv', id, table_id) AS csv, coalesce(nullif(trim(regexp_replace(regexp_replace(trim(s), '[^\\p{{L}}\\p{{N}}_.\\-]+', '_', 'g'), '_{{2,}}', '_', 'g'), '._-'), ''), 'output') AS folder FROM n""",
