@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the next one's documents, with the columns of documents; the last
 gives token ids. Every stage works on all rows that its predecessor kept. Empty tables pass through all stages.
+Lists of documents that go are written first, so that Spark knows their size: short ones are broadcast and the texts stay
+where they are, long ones are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the one with the least doc_id stays."""
-    gone = near_dedup.groups(docs, k=5, percent=80).where("NOT kept").select("doc_id")
+    gone = written(near_dedup.groups(docs, k=5, percent=80).where("NOT kept").select("doc_id"), "pipeline-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of the benchmark go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontam.contained(docs, items, k=5, percent=80).select("doc_id").distinct()
+    leaks = written(decontam.contained(docs, items, k=5, percent=80).select("doc_id").distinct(), "pipeline-leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 
