@@ -15,16 +15,17 @@ import base64
 import codecs
 import hashlib
 import struct
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.pretokens import Splitter
+from gridquarry.llm.common import frugal
+from gridquarry.llm.pretokens import Memory, Splitter
 
-#: Pre-tokens whose ids a worker keeps.
-KNOWN = 400_000
+#: Pre-tokens of a generation whose ids a worker keeps.
+KNOWN = 200_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -83,34 +84,20 @@ class ByteBPE:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(self.tokens))
         self.unknown = len(self.tokens)
         self.digits = [str(i) for i in range(len(self.tokens))]
-        #: Ids of pre-tokens seen before; emptied when full.
-        self.known: dict[str, list[int]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        """Encodes pre-tokens that were not seen before, all in one call."""
-        fresh = list(words)
-        ids = self.model.encode(BREAK.join([codecs.charmap_decode(w.encode(), "strict", ALPHABET)[0] for w in fresh]))
-        start = 0
-        for w in fresh:
-            try:
-                end = ids.index(self.unknown, start)
-            except ValueError:
-                end = len(ids)
-            self.known[w] = ids[start:end]
-            start = end + 1
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for words in self.splitter.slices(text):
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            fresh = set(words).difference(self.known)
-            if fresh:
-                self._learn(fresh)
-            out += chain.from_iterable(map(self.known.__getitem__, words))
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
+        self.memory = Memory(self._each, KNOWN)
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token, all encoded in one call."""
+        ids = np.array(self.model.encode(BREAK.join([codecs.charmap_decode(w.encode(), "strict", ALPHABET)[0] for w in words])), np.int32)
+        ends = [*np.flatnonzero(ids == self.unknown).tolist(), len(ids)]
+        raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
+        return [raw[4 * i : 4 * j] for i, j in zip(starts, ends)]
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        return np.frombuffer(b"".join(map(self.memory.ids, self.splitter.slices(text))), np.int32)
+
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -129,7 +116,9 @@ def _encode(path: str, pattern: str, at: int):
         codec = loaded(path, pattern)
         for b in batches:
             ids = [codec.encode(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+            offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))) if ids else pa.array([], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "ids"])
 
     return run
 
@@ -139,7 +128,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
     keep = [c for c in docs.columns if c.lower() != ids.lower()]
     own = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(keep)))
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", ids array<int>"
-    out = own.mapInArrow(_encode(path, pattern, keep.index(text)), schema)
+    out = own.mapInArrow(frugal(_encode(path, pattern, keep.index(text))), schema)
     return out.toDF(*keep, ids)
 
 
@@ -156,7 +145,7 @@ def _decode(path: str, pattern: str):
 def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """key and the bytes of each row's ids; null ids give null."""
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(ids).alias("ids"), F.col(key).alias("key")).mapInArrow(_decode(path, pattern), f"bytes binary, key {kind}").select(
+    return rows.select(F.col(ids).alias("ids"), F.col(key).alias("key")).mapInArrow(frugal(_decode(path, pattern)), f"bytes binary, key {kind}").select(
         F.col("key").alias(key), "bytes"
     )
 
@@ -167,7 +156,7 @@ def _digest(path: str, pattern: str):
         for b in batches:
             ns, hashes, back = [], [], []
             for t in b.column(1).to_pylist():
-                ids = codec.encode(t or "")
+                ids = codec.encode(t or "").tolist()
                 ns.append(len(ids))
                 hashes.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
@@ -181,5 +170,5 @@ def _digest(path: str, pattern: str):
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of docs (doc_id, text), encoded and decoded in one pass."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _digest(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        frugal(_digest(path, pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

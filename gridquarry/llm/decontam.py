@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import seeds, shingle_hashes, word_hashes
+from gridquarry.llm.common import frugal, seeds, shingle_hashes, word_hashes
 
 HASHES = 96
 #: Items sent to a task at a time, and most bytes of their texts.
@@ -168,7 +168,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80)
     out = None
     for block in _blocks(items.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))):
         shared = spark.sparkContext.broadcast((block, k, percent))
-        part = own.mapInArrow(_search(shared), schema)
+        part = own.mapInArrow(frugal(_search(shared)), schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 

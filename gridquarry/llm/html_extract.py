@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.llm.common import frugal
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
@@ -218,5 +220,5 @@ def _extract(batches):
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(
-        _extract, "page_id long, url string, text string, n_chars long"
+        frugal(_extract), "page_id long, url string, text string, n_chars long"
     )

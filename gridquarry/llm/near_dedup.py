@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import components, dropped, minima, seeds, shingle_set, splitmix, written
+from gridquarry.llm.common import components, dropped, frugal, minima, seeds, shingle_set, splitmix, written
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
@@ -80,7 +80,7 @@ def _sketch(k: int):
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        _sketch(k), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"
+        frugal(_sketch(k)), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"
     )
 
 
@@ -222,7 +222,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         near.select("key", "lo", "hi", "rep", "n_shingles", "sig")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "rep")
-        .mapInArrow(_bucket_forest, "u long, v long")
+        .mapInArrow(frugal(_bucket_forest), "u long, v long")
     )
     cluster = components(forest, "dedup-clusters")
     members = cluster.union(cluster.select(F.col("root").alias("v"), "root").distinct())
@@ -236,7 +236,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .select("root", "lo", "hi", "v", "text")
         .repartition("root", "lo", "hi")
         .sortWithinPartitions("root", "lo", "hi", "v")
-        .mapInArrow(_confirmed(k, percent), "u long, v long")
+        .mapInArrow(frugal(_confirmed(k, percent)), "u long, v long")
     )
     linked = components(links, "dedup-links")
     dropped(met)

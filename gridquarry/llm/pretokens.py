@@ -60,3 +60,32 @@ class Splitter:
                 yield held
                 held = []
         yield held
+
+
+class Memory:
+    """Ids of words seen before. Two generations of `most` words each: words in use move on to the young one."""
+
+    def __init__(self, learn, most: int):
+        self.learn, self.most = learn, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> bytes:
+        """The ids of the words one after another; learn(words) gives those of words not known."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        parts = [*map(young.get, words)]
+        if None in parts:
+            holes = [i for i, p in enumerate(parts) if p is None]
+            fresh = []
+            for w in {words[i] for i in holes}:
+                if (p := old.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    young[w] = p
+            if fresh:
+                young.update(zip(fresh, self.learn(fresh)))
+            for i in holes:
+                parts[i] = young[words[i]]
+        return b"".join(parts)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.llm.common import frugal
+
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns.
 ASSIGN = re.compile(
@@ -245,7 +247,7 @@ def trained(docs: DataFrame) -> Field:
     hashed = docs.where("text RLIKE '[0-9]{4}'").select(F.xxhash64("doc_id").alias("h"), "text")
     most = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes alone are sorted
     picked = hashed.where(F.col("h") <= F.lit(most))
-    rows = picked.mapInArrow(_sampled, "h long, tags array<int>, feats array<array<int>>").limit(SAMPLE_WINDOWS).collect()
+    rows = picked.mapInArrow(frugal(_sampled), "h long, tags array<int>, feats array<array<int>>").limit(SAMPLE_WINDOWS).collect()
     rows.sort(key=lambda r: (r["h"], r["feats"]))
     return fitted([([np.array(f, np.int32) for f in r["feats"]], list(r["tags"])) for r in rows])
 
@@ -295,7 +297,7 @@ def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(field or trained(docs))  # DIMS * 3 doubles
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _scan(shared), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+        frugal(_scan(shared)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
 
 
@@ -323,4 +325,4 @@ def redacted(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]"
     """docs with every span of its texts replaced by mark; overlapping spans become one mark. Other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(field or trained(docs))
     own = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    return own.mapInArrow(_redact(shared, docs.columns.index("text"), mark), own.schema).toDF(*docs.columns)
+    return own.mapInArrow(frugal(_redact(shared, docs.columns.index("text"), mark)), own.schema).toDF(*docs.columns)

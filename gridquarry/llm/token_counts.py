@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridquarry.llm.byte_bpe import loaded
+from gridquarry.llm.common import frugal
+
 LEDGER = "doc_id long, tokenizer string, source string, lang string, d_docs long, d_tokens long"
 GROUP = ("source", "lang", "tokenizer")
 
@@ -94,8 +97,6 @@ class Rollup:
 
 def _count(path: str, pattern: str):
     def run(batches):
-        from gridquarry.llm.byte_bpe import loaded
-
         codec = loaded(path, pattern)
         for b in batches:
             ns = [len(codec.encode(t or "")) for t in b.column(b.num_columns - 1).to_pylist()]
@@ -108,7 +109,7 @@ def counted(docs: DataFrame, path: str, pattern: str, version: str) -> DataFrame
     """doc_id, source, lang, n_tokens, tokenizer: tokens of every whole text by the rank file at path; null texts have none."""
     return (
         docs.select(F.col("doc_id").cast("long"), "source", "lang", "text")
-        .mapInArrow(_count(path, pattern), "doc_id long, source string, lang string, n_tokens long")
+        .mapInArrow(frugal(_count(path, pattern)), "doc_id long, source string, lang string, n_tokens long")
         .withColumn("tokenizer", F.lit(version))
     )
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import seeds, splitmix, word_bounds, word_hashes
+from gridquarry.llm.common import frugal, seeds, splitmix, word_bounds, word_hashes
 
 SAMPLE, LEAST = 2000, 4
 #: Least chi-square of a feature with toxic and other sampled texts.
@@ -136,7 +136,7 @@ def trained(docs: DataFrame, grades: DataFrame) -> Ordinal:
     if picked is None:
         return fitted([])
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")  # SAMPLE ids a grade
-    rows = texts.mapInArrow(_words, "words array<long>, grade int").collect()
+    rows = texts.mapInArrow(frugal(_words), "words array<long>, grade int").collect()
     return fitted([(np.array(r[0], np.int64).view(np.uint64), r[1]) for r in rows])
 
 
@@ -157,4 +157,4 @@ def _grade(shared):
 def graded(docs: DataFrame, model: Ordinal) -> DataFrame:
     """doc_id, severity, grade, toxic for each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # words of LEAST sampled texts
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_grade(shared), "doc_id long, severity double, grade int, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(_grade(shared)), "doc_id long, severity double, grade int, toxic boolean")
