@@ -178,8 +178,8 @@ def _candidates(spark, sf_dir):
     return _boxed(fixture(spark, sf_dir, "fx_candidates")).select("doc_id", "page", "cand_no", "rect")
 
 
-def _captions(spark, sf_dir):
-    c = fixture(spark, sf_dir, "fx_captions").withColumn("x0", F.lit(0.0)).withColumn("x1", F.lit(100.0))
+def _captions(spark, sf_dir, relation: str = "fx_captions"):
+    c = fixture(spark, sf_dir, relation).withColumn("x0", F.lit(0.0)).withColumn("x1", F.lit(100.0))
     return _boxed(c, "no_rect").select("doc_id", "page", "cap_no", "kind", "key", "text", "rect")
 
 
@@ -192,26 +192,52 @@ def nearest_regions(spark, sf_dir):
     return regions.nearest(_captions(spark, sf_dir), _candidates(spark, sf_dir))
 
 
+def nearest_regions_all(spark, sf_dir):
+    return regions.nearest(_captions(spark, sf_dir, "fx_all_captions"), _candidates(spark, sf_dir))
+
+
 def attached_captions(spark, sf_dir):
     return regions.attached_twice(_candidates(spark, sf_dir), _captions(spark, sf_dir))
 
 
+def attached_captions_all(spark, sf_dir):
+    return regions.attached_twice(_candidates(spark, sf_dir), _captions(spark, sf_dir, "fx_all_captions"))
+
+
 def unmatched_captions(spark, sf_dir):
-    caps = _captions(spark, sf_dir)
+    return _unmatched(_captions(spark, sf_dir))
+
+
+def unmatched_captions_all(spark, sf_dir):
+    return _unmatched(_captions(spark, sf_dir, "fx_all_captions"))
+
+
+def _unmatched(caps: DataFrame) -> DataFrame:
     exported = caps.where("cap_no = 1").select("doc_id", "key")
     hits = F.array_join(K.keyword_hits(F.col("text"), WORDS), ";")
     return regions.unmatched_captions(caps, exported).select("doc_id", "page", "cap_no", "key", hits.alias("hits")).where("hits <> ''")
 
 
-def caption_ownership(spark, sf_dir):
+def _haystacks(spark, sf_dir):
     grid = fixture(spark, sf_dir, "fx_grid")
     arr = lambda cond, by: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(by, "value")))), lambda x: x["value"])
-    hay = grid.groupBy("doc_id", "table_no").agg(regions.haystack(arr(F.col("i") == 0, "j"), arr(F.col("j") == 0, "i")).alias("hay"))
+    return grid.groupBy("doc_id", "table_no").agg(regions.haystack(arr(F.col("i") == 0, "j"), arr(F.col("j") == 0, "i")).alias("hay"))
+
+
+def caption_ownership(spark, sf_dir):
     caps = _captions(spark, sf_dir)
-    named = hay.join(caps.where("cap_no = 1 AND page = 1").select("doc_id", "kind", F.col("text").alias("caption")), "doc_id")
+    named = _haystacks(spark, sf_dir).join(caps.where("cap_no = 1 AND page = 1").select("doc_id", "kind", F.col("text").alias("caption")), "doc_id")
     return regions.ownership(named, caps).select("doc_id", "table_no", "belongs")
 
 
+def caption_ownership_all(spark, sf_dir):
+    """Every table with its document's first caption on any page; belongs is null for tables of documents without captions."""
+    caps = _captions(spark, sf_dir, "fx_all_captions")
+    first = caps.groupBy("doc_id").agg(F.min_by(F.struct("kind", F.col("text").alias("caption")), F.struct("page", "cap_no")).alias("c")).select("doc_id", "c.*")
+    named = _haystacks(spark, sf_dir).join(first, "doc_id", "left")
+    return regions.ownership(named, caps).select("doc_id", "table_no", F.when(F.col("caption").isNotNull(), F.col("belongs")).alias("belongs"))
+
+
 def _cells(spark, sf_dir):
     return _boxed(fixture(spark, sf_dir, "fx_cells"), "no_box").withColumnRenamed("rect", "bbox").drop("x0", "y0", "x1", "y1")
 
@@ -225,6 +251,11 @@ def banded_cells(spark, sf_dir):
     return audit.banded_cells(cells, fixture(spark, sf_dir, "fx_words"), cells.select("doc_id", "table_no", "r0").distinct())
 
 
+def banded_cells_all(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return audit.banded_cells(cells, fixture(spark, sf_dir, "fx_all_words"), cells.select("doc_id", "table_no", "r0").distinct())
+
+
 def _cell_grid(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_cells").select("doc_id", "table_no", (F.col("r0") + 2).alias("i"), F.col("c0").alias("j"), F.lower("text").alias("value"))
 
@@ -238,6 +269,10 @@ def merged_rows(spark, sf_dir):
     return audit.merged_rows(_cells(spark, sf_dir), _cell_grid(spark, sf_dir), fixture(spark, sf_dir, "fx_words"))
 
 
+def merged_rows_all(spark, sf_dir):
+    return audit.merged_rows(_cells(spark, sf_dir), _cell_grid(spark, sf_dir), fixture(spark, sf_dir, "fx_all_words"))
+
+
 def _tables(spark, sf_dir):
     t = fixture(spark, sf_dir, "fx_tables")
     return t.withColumn("header", F.split("header", r"\|")).withColumn("notes", F.array("note")).drop("note")
@@ -300,5 +335,6 @@ QUERIES = {
         page_rotation, document_features, ocr_pages, line_directions, nms, split_panel, drop_giants, bands, panel_grid, panel_fill, grid_shapes, dual_read_merge, dual_read_conflicts,
         table_measures, suspect_minus, region_chars, nearest_regions, attached_captions, unmatched_captions, caption_ownership, tall_rows, banded_cells, output_rows, merged_rows,
         table_audit, stitched_tables, output_names, manifest_rows, manifest_upsert, manifest_summary, csv_files,
+        nearest_regions_all, attached_captions_all, unmatched_captions_all, caption_ownership_all, banded_cells_all, merged_rows_all,
     )
 }

@@ -273,4 +273,15 @@ SELECT id, table_id, printf('p%02d_%s.csv', id, table_id) AS csv, coalesce(nulli
 r AS (SELECT doc_id, table_no, i, string_agg(v, ',' ORDER BY j, v) AS line, count(*) AS n FROM q GROUP BY ALL)
 SELECT doc_id, table_no, string_agg(CASE WHEN n = 1 AND line = '' THEN '""' ELSE line END || chr(13) || chr(10), '' ORDER BY i) AS content FROM r GROUP BY ALL""",
 }
+#: The same over all captions and words.
+for _name in ("nearest_regions", "attached_captions", "unmatched_captions", "caption_ownership", "banded_cells", "merged_rows"):
+    _SQL[f"{_name}_all"] = _SQL[_name].replace("fx_captions", "fx_all_captions").replace("fx_words", "fx_all_words")
+_SQL["caption_ownership_all"] = (
+    _SQL["caption_ownership_all"]
+    .replace("JOIN fx_all_captions c ON c.doc_id = h.doc_id AND cap_no = 1 AND page = 1", "LEFT JOIN (SELECT * FROM fx_all_captions QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, cap_no) = 1) c ON c.doc_id = h.doc_id")
+    .replace("FROM t JOIN w ON", "FROM t LEFT JOIN w ON")
+    .replace("coalesce(max(n) FILTER (own), 0) > 0", "CASE WHEN bool_or(caption IS NOT NULL) THEN coalesce(max(n) FILTER (own), 0) > 0")
+    .replace("< 2 AS belongs", "< 2 END AS belongs")
+    .replace("SELECT t.doc_id, t.table_no, w.text", "SELECT t.doc_id, t.table_no, t.caption, w.text")
+)
 ORACLE_SQL = {name: with_fixtures(sql) for name, sql in _SQL.items()}

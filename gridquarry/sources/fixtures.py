@@ -84,6 +84,19 @@ GROUP BY doc_id, table_no, r0, c0""",
 SELECT l_suppkey AS doc_id, 1 AS page, CAST((l_partkey * 7 + l_linenumber) % 250 AS DOUBLE) AS x0, CAST((l_partkey * 3) % 270 AS DOUBLE) AS y0,
        CAST((l_partkey * 7 + l_linenumber) % 250 + 6 AS DOUBLE) AS x1, CAST((l_partkey * 3) % 270 + 4 AS DOUBLE) AS y1
 FROM {lineitem} WHERE l_linenumber < 4""",
+    # Captions and words of all rows, which fx_captions and fx_words leave out in part; words lie beside the cells by their place.
+    "fx_all_captions": """
+SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) AS page,
+       CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey DESC) AS INT) AS cap_no,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'figure' ELSE 'table' END AS kind,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'fig ' ELSE 'table ' END || CAST(o_orderkey % 9 AS STRING) AS key,
+       CASE o_orderkey % 5 WHEN 0 THEN 'Response of tumours to Obj treatment' WHEN 1 THEN 'Mean survival by group' WHEN 2 THEN 'Summary of results' WHEN 3 THEN 'Cyclophosphamide dose in xenografts' ELSE 'Relapse and remission' END AS text,
+       o_orderkey % 11 = 0 AS no_rect, CAST((o_orderkey % 13) * 50 AS DOUBLE) AS y0, CAST((o_orderkey % 13) * 50 + 12 AS DOUBLE) AS y1
+FROM {orders}""",
+    "fx_all_words": """
+SELECT l_suppkey AS doc_id, 1 AS page, CAST((l_partkey * 7 + l_linenumber) % 250 + CASE WHEN l_quantity > 25 THEN 250 ELSE 0 END AS DOUBLE) AS x0, CAST((l_partkey * 3) % 270 AS DOUBLE) AS y0,
+       CAST((l_partkey * 7 + l_linenumber) % 250 + CASE WHEN l_quantity > 25 THEN 250 ELSE 0 END + 6 AS DOUBLE) AS x1, CAST((l_partkey * 3) % 270 + 4 AS DOUBLE) AS y1
+FROM {lineitem}""",
     # Extracted tables in reading order: header, caption and page of each.
     "fx_tables": """
 SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS table_no,
