@@ -1,12 +1,15 @@
 """Secret scans by a linear-chain conditional random field (operator 9).
 
-Base kinds are found by fixed patterns and always stay. A CRF adds spans: it tags tokens as begin, inside or outside of
-a secret from their shape, the neighbouring words and features of the whole text, and is decoded by Viterbi. Only
-tokens of the secret alphabet with a digit and 8 characters or more may be tagged begin or inside (a structural zero of
-the model), so the chain falls apart at all other tokens and is decoded run by run, exactly as over the whole text.
-
-The field is trained on the driver from a bounded sample: windows around candidate tokens of at most SAMPLE_DOCS
-labelled-by-pattern texts, chosen by hash of doc_id, tags taken from the base spans. Weights are a few thousand doubles.
+Base kinds are found by fixed patterns and always stay. A CRF adds spans: it tags every token of a text as begin, inside
+or outside of a secret from its shape, the neighbouring words and features of the whole text, and is decoded by Viterbi.
+Scores of a word are remembered, so that those of a text are sums of looked-up rows. A token that is outside in every
+best sequence, whatever its neighbours' tags (a bound on what another tag could gain), parts the chain: the runs between
+such tokens are decoded one by one, exactly as over the whole text.
+
+The field is trained on the driver from a bounded sample: windows of at most SAMPLE_DOCS labelled-by-pattern texts,
+chosen by hash of doc_id, tags taken from the base spans (of an assignment, its value). Of the windows SAMPLE_WINDOWS are
+chosen by a hash of doc_id, position and words; those that hold a secret are chosen RICH times as often and weigh less by
+as much. Weights are a few thousand doubles.
 Scanning covers every whole text. Nulls are empty texts; empty texts have no spans; spans of one start are ordered by
 kind; repeated rows are scanned alike; extra columns are ignored. Positions are code points, the end exclusive.
 """
@@ -33,13 +36,19 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
+#: A token with the white space before it.
+PIECE = re.compile(r"\s*(?:[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-])")
 DIGITS = re.compile(r"[0-9]+")
 BODY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 LEAST = 8
 DIMS = 1 << 13
 #: Most texts and windows of the training sample.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 20_000
+#: Least tokens of a window, and how many times as often one with a secret is chosen.
+WINDOW, RICH = 8, 16
+#: Characters of a word that make its features, and words remembered by a task.
+HEAD, REMEMBERED = 64, 200_000
+KEYS = frozenset(("password", "passwd", "secret", "token", "apikey", "api_key", "key"))
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
@@ -86,49 +95,95 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_CLASS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "9" * 10)
+_REPEATED = re.compile(r"(.)\1+", re.S)
+
+
 def _shape(word: str) -> str:
-    kinds = ["A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in word[:64]]
-    return "".join(k for k, before in zip(kinds, ["", *kinds]) if k != before)[:12]
+    head = word[:64]
+    kinds = head.translate(_CLASS) if head.isascii() else "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in head)
+    return _REPEATED.sub(r"\1", kinds)[:12]
 
 
 def _ids(names: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(n.encode()) % DIMS for n in names], np.int32)
 
 
-def features(text: str, span: tuple[int, int], density: int) -> np.ndarray:
-    """Hashed features of a candidate: shape, neighbouring words, the text's own."""
-    i, j = span
-    word = text[i:j]
-    lead, tail = text[max(0, i - 40) : i], text[j : j + 24]
-    before = [m.lower() for m in TOKEN.findall(lead)][-3:]
-    after = [m.lower() for m in TOKEN.findall(tail)][:1]
-    digits = sum(c.isdigit() for c in word)
-    names = [
+def pieces(text: str) -> list[str]:
+    """All tokens of a text, each with the white space before it."""
+    return PIECE.findall(text.rstrip())
+
+
+def traits(word: str) -> tuple:
+    """What a word itself shows."""
+    head = word[:HEAD]
+    n = len(head)
+    digits = 0 if head.isalpha() else sum(map(str.isdigit, head))
+    upper = not digits and head.isupper() and head.isalpha() or bool(digits) and all(c.isupper() or c.isdigit() for c in head)
+    return _shape(head), min(n // 4, 12), 10 * digits // n, not head.strip("0123456789abcdef"), n >= 16, upper, head[:4] == "AKIA", digits < n, 10 * len(set(head)) // min(n, 24), digits > 0 and n >= LEAST
+
+
+def word_features(shown: tuple) -> list[str]:
+    """Names of traits."""
+    shape, length, digits, hexes, long, upper, akia, letters, variety, likely = shown
+    return [
         "bias",
-        f"shape {_shape(word)}",
-        f"length {min(len(word) // 4, 12)}",
-        f"digits {10 * digits // len(word)}",
-        f"hex {all(c in '0123456789abcdef' for c in word)} {len(word) >= 16}",
-        f"upper {all(c.isupper() or c.isdigit() for c in word)} {word[:4] == 'AKIA'}",
-        f"letters {digits < len(word)}",
-        f"variety {10 * len(set(word)) // min(len(word), 24)}",
-        f"density {density}",
-        f"space {lead[-1:].isspace()} {tail[:1].isspace()}",
-        *(f"before{len(before) - k} {w if len(w) < 16 else _shape(w)}" for k, w in enumerate(before)),
-        *(f"after {w if len(w) < 16 else _shape(w)}" for w in after),
-        f"keyed {any(w in ('password', 'passwd', 'secret', 'token', 'apikey', 'api_key', 'key') for w in before)}",
+        f"shape {shape}",
+        f"length {length}",
+        f"digits {digits}",
+        f"hex {hexes} {long}",
+        f"upper {upper} {akia}",
+        f"letters {letters}",
+        f"variety {variety}",
+        f"likely {likely}",
     ]
-    return np.unique(_ids(names))
 
 
-def runs(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Candidates in runs without any other token between them."""
-    out: list[list[tuple[int, int]]] = []
-    for s in spans:
-        if out and not text[out[-1][-1][1] : s[0]].strip():
-            out[-1].append(s)
-        else:
-            out.append([s])
+#: Check sums of what the names of neighbours' features begin with.
+_AROUND = [zlib.crc32(n) for n in (b"before1 ", b"before2 ", b"before3 ", b"after ")]
+
+
+def around(low: str) -> list[int]:
+    """Hashed features that a word gives to its neighbours."""
+    data = low.encode("utf-8", "surrogatepass")
+    return [zlib.crc32(data, a) % DIMS for a in _AROUND]
+
+
+class Word:
+    """Hashed features of a piece: its own, those it gives to its neighbours, and whether it is a key word or follows a space."""
+
+    __slots__ = ("own", "around", "keyed", "spaced", "size", "length")
+
+    def __init__(self, piece: str):
+        word = piece.lstrip()
+        low = word.lower() if len(word) < 16 else _shape(word)
+        self.own = _ids(word_features(traits(word)))
+        self.around = around(low)
+        self.keyed, self.spaced = low in KEYS, len(word) < len(piece)
+        self.size, self.length = len(piece), len(word)
+
+
+_SPACE = _ids([f"space {a} {b}" for a in (False, True) for b in (False, True)])
+_KEYED = _ids([f"keyed {a}" for a in (False, True)])
+#: Features of a token: its word's, space, density, three words before, one after, keyed. DIMS stands for none.
+WIDTH = 9 + 1 + 1 + 3 + 1 + 1
+
+
+def features(words: list[Word], first: int, last: int, density: int, trails: bool = False) -> np.ndarray:
+    """Hashed features of words first to last (exclusive), a row each; a feature hashed twice counts twice."""
+    out = np.full((last - first, WIDTH), DIMS, np.int16)
+    dense = _ids([f"density {density}"])[0]
+    for row, t in zip(out, range(first, last)):
+        after = words[t + 1] if t + 1 < len(words) else None
+        before = words[max(0, t - 3) : t][::-1]
+        row[:9] = words[t].own
+        row[9] = _SPACE[2 * words[t].spaced + (after.spaced if after else trails)]
+        row[10] = dense
+        for k, w in enumerate(before):
+            row[11 + k] = w.around[k]
+        if after:
+            row[14] = after.around[3]
+        row[15] = _KEYED[int(any(w.keyed for w in before))]
     return out
 
 
@@ -137,19 +192,41 @@ def density(text: str, spans: list[tuple[int, int]]) -> int:
     return min(8, int(np.log2(1 + 10_000 * len(spans) / max(len(text), 200))))
 
 
+def labels(text: str, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Tags of the tokens from the base spans."""
+    tags = np.zeros(len(starts), np.int32)
+    for i, kind, j in base_spans(text):
+        if kind == 0:
+            i = ASSIGN.match(text, i).start(1)
+        lo, hi = np.searchsorted(ends, i, "right"), np.searchsorted(starts, j, "left")
+        fresh = np.flatnonzero(tags[lo:hi] == OUTSIDE) + lo
+        tags[fresh] = np.where(fresh == lo, BEGIN, INSIDE)
+    return tags
+
+
+def cuts(text: str) -> tuple[list[str], np.ndarray, list[int]]:
+    """Pieces and tags of a text, and where its windows start: every WINDOW tokens, but not inside a secret."""
+    parts = pieces(text)
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    starts = ends - [len(p.lstrip()) for p in parts] if parts else ends
+    tags = labels(text, ends, starts)
+    at = [0]
+    while at[-1] + WINDOW < len(parts):
+        i = at[-1] + WINDOW
+        while i < len(parts) and tags[i] == INSIDE:
+            i += 1
+        at.append(i)
+    return parts, tags, [i for i in at if i < len(parts)]
+
+
 def windows(text: str) -> list[tuple[list[np.ndarray], list[int]]]:
-    """Features and tags of each run of candidates, tags from the base spans."""
-    base = base_spans(text)
-    spans = candidates(text)
-    d = density(text, spans)
+    """Features and tags of each window, tags from the base spans."""
+    parts, tags, at = cuts(text)
+    words, d = [Word(p) for p in parts], density(text, candidates(text))
     out = []
-    for run in runs(text, spans):
-        tags, last = [], None
-        for s in run:
-            hit = next((b for b in base if b[0] < s[1] and s[0] < b[2]), None)
-            tags.append(OUTSIDE if hit is None else INSIDE if hit == last else BEGIN)
-            last = hit
-        out.append(([features(text, s, d) for s in run], tags))
+    for i, j in zip(at, [*at[1:], len(parts)]):
+        rows = features(words, i, j, d, bool(text[-1:].isspace()))
+        out.append(([r[r < DIMS] for r in rows], tags[i:j].tolist()))
     return out
 
 
@@ -161,9 +238,12 @@ class Field:
 
     def viterbi(self, run: list[np.ndarray]) -> list[int]:
         """The best tags of a run between two outside tokens; ties go to the lower tag."""
+        return self.best(np.stack([self.emit[:, f].sum(1) for f in run]))
+
+    def best(self, emits: np.ndarray) -> list[int]:
+        """The same from the scores of each token's tags."""
         score, back = None, []
-        for f in run:
-            e = self.emit[:, f].sum(1)
+        for e in emits:
             if score is None:
                 score = e + self.move[OUTSIDE]
             else:
@@ -177,9 +257,83 @@ class Field:
             tags.append(tag)
         return tags[::-1]
 
-
-def fitted(sample: list[tuple[list[np.ndarray], list[int]]], rounds: int = 60, l2: float = 1e-3, rate: float = 0.3) -> Field:
-    """Maximum conditional likelihood by full-batch Adagrad; runs of equal length are computed together."""
+    def outside(self, emits: np.ndarray) -> np.ndarray:
+        """Tokens that are outside in every best sequence: with any other tag, outside in its place (and begin for an inside that follows) scores more."""
+        m = self.move
+        follows = np.append((emits[1:, INSIDE] - emits[1:, BEGIN]), -np.inf)
+        gain = np.full(len(emits), -np.inf)
+        for tag in (BEGIN, INSIDE):
+            into = (m[:, tag] - m[:, OUTSIDE]).max()
+            on = (m[tag, :INSIDE] - m[OUTSIDE, :INSIDE]).max()
+            inside = m[tag, INSIDE] - m[OUTSIDE, BEGIN] + (m[INSIDE] - m[BEGIN]).max()
+            gain = np.maximum(gain, emits[:, tag] - emits[:, OUTSIDE] + into + np.maximum(on, inside + follows))
+        return gain < -1e-9
+
+    def decoded(self, emits: np.ndarray) -> list[tuple[int, list[int]]]:
+        """The best tags of a whole text as runs (first token, tags); tokens in no run are outside."""
+        open_ = np.flatnonzero(~self.outside(emits))
+        if not len(open_):
+            return []
+        parts = np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1)
+        return [(int(p[0]), self.best(emits[p[0] : p[-1] + 1])) for p in parts]
+
+
+class Scores(dict):
+    """The scores that a field gives to words, remembered by piece."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        emit = field.emit
+        self.turned = np.ascontiguousarray(emit.T)
+        self.space, self.keyed = emit[:, _SPACE].T, emit[:, _KEYED].T
+        self.dense = emit[:, _ids([f"density {d}" for d in range(9)])].T
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.own: dict[tuple, np.ndarray] = {}
+        self.n = 0
+        self.score, self.flags = np.zeros((5, 1024, 3)), np.zeros((4, 1024), np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        n, word = self.n, piece.lstrip()
+        if n == self.flags.shape[1]:
+            self.score = np.concatenate([self.score, np.zeros_like(self.score)], 1)
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)], 1)
+        shown = traits(word)
+        if (own := self.own.get(shown)) is None:
+            own = self.own[shown] = self.field.emit[:, _ids(word_features(shown))].sum(1)
+        low = word.lower() if len(word) < 16 else shown[0]
+        self.score[0, n] = own
+        self.score[1:, n] = self.turned[around(low)]
+        self.flags[:, n] = low in KEYS, len(word) < len(piece), len(piece), len(word)
+        self.n += 1
+        if len(piece) <= 4 * HEAD:
+            self[piece] = n
+        return n
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of each token's tags, and the tokens' starts and ends."""
+        if self.n > REMEMBERED:
+            self.forget()
+        at = np.array(list(map(self.__getitem__, pieces(text))), np.int64)
+        score = self.score
+        e = score[0][at] + self.dense[density(text, candidates(text))]
+        for k in (1, 2, 3):
+            e[k:] += score[k][at[:-k]]
+        e[:-1] += score[4][at[1:]]
+        keyed, spaced, size, length = (f[at] for f in self.flags)
+        e += self.space[2 * spaced + np.append(spaced[1:], int(text[-1:].isspace()))]
+        near = np.zeros(len(at), np.int64)
+        for k in (1, 2, 3):
+            near[k:] |= keyed[:-k]
+        e += self.keyed[near]
+        ends = np.cumsum(size)
+        return e, ends - length, ends
+
+
+def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float] | None = None, rounds: int = 60, l2: float = 1e-3, rate: float = 0.3) -> Field:
+    """Maximum conditional likelihood by full-batch Adagrad; runs of equal length are computed together; each weighs the same or as weights say."""
     emit, move = np.zeros((3, DIMS)), np.zeros((3, 3))
     move[OUTSIDE, INSIDE] = -1e3  # inside follows begin or inside only
     if not sample:
@@ -189,19 +343,19 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], rounds: int = 60, l
     for i, (_, tags) in enumerate(sample):
         by.setdefault(len(tags), []).append(i)
     groups = []
+    own = np.full(len(sample), 1 / len(sample)) if weights is None else np.array(weights)
     for n, members in by.items():
         width = max(len(f) for i in members for f in sample[i][0])
         x = np.full((len(members), n, width), DIMS, np.int32)
         for r, i in enumerate(members):
             for t, f in enumerate(sample[i][0]):
                 x[r, t, : len(f)] = f
-        groups.append((x, np.array([sample[i][1] for i in members])))
+        groups.append((x, np.array([sample[i][1] for i in members]), own[members]))
     ge, gm = np.full((3, DIMS), 1e-8), np.full((3, 3), 1e-8)
-    total = len(sample)
     for _ in range(rounds):
         padded = np.concatenate([emit, np.zeros((3, 1))], 1)
         de, dm = np.zeros((3, DIMS + 1)), np.zeros((3, 3))
-        for x, y in groups:
+        for x, y, w in groups:
             m, n, _ = x.shape
             e = padded[:, x].sum(3).transpose(1, 2, 0)
             alpha, beta = np.empty((m, n, 3)), np.empty((m, n, 3))
@@ -213,16 +367,16 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], rounds: int = 60, l
                 beta[:, t] = np.logaddexp.reduce(move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
             z = np.logaddexp.reduce(alpha[:, -1] + beta[:, -1], axis=1)
             p = np.exp(alpha + beta - z[:, None, None])
-            diff = (np.eye(3)[y] - p) / total
+            diff = (np.eye(3)[y] - p) * w[:, None, None]
             for tag in range(3):
                 de[tag] += np.bincount(x.reshape(m * n, -1).ravel(), np.repeat(diff[:, :, tag].ravel(), x.shape[2]), DIMS + 1)
             first = np.eye(3)[y[:, 0]] - p[:, 0]
-            dm[OUTSIDE] += first.sum(0) / total
-            dm[:, OUTSIDE] += (np.eye(3)[y[:, -1]] - p[:, -1]).sum(0) / total
+            dm[OUTSIDE] += w @ first
+            dm[:, OUTSIDE] += w @ (np.eye(3)[y[:, -1]] - p[:, -1])
             for t in range(1, n):
                 pair = np.exp(alpha[:, t - 1, :, None] + move + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-                np.add.at(dm, (y[:, t - 1], y[:, t]), 1 / total)
-                dm -= pair.sum(0) / total
+                np.add.at(dm, (y[:, t - 1], y[:, t]), w)
+                dm -= np.tensordot(w, pair, 1)
         g = de[:, :DIMS] - l2 * emit
         g[OUTSIDE] = 0
         ge += g * g
@@ -235,11 +389,19 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], rounds: int = 60, l
 
 def _sampled(batches):
     for b in batches:
-        rows = [(i, f"{tags}".encode(), [x.tolist() for x in feats]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for feats, tags in windows(t or "")]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([[int(c) for c in r[1].decode().strip("[]").split(",")] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int32())))],
-            ["h", "tags", "feats"],
-        )
+        out: list[list] = [[] for _ in range(6)]
+        for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            parts, tags, at = cuts(text or "")
+            d = density(text, candidates(text)) if parts else 0
+            for i, j in zip(at, [*at[1:], len(parts)]):
+                near = [" " * (p[:1].isspace()) + p.lstrip()[:HEAD] for p in parts[max(0, i - 3) : j + 1]]
+                key = hashlib.blake2b(f"{h} {i} {near}".encode("utf-8", "replace"), digest_size=7).digest()
+                held = bool(tags[i:j].any())
+                rank = int.from_bytes(key, "little") / 2**56 / (RICH if held else 1)
+                for c, v in zip(out, (rank, held, d, min(i, 3), tags[i:j].tolist(), near)):
+                    c.append(v)
+        types = (pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["rank", "held", "density", "first", "tags", "near"])
 
 
 def trained(docs: DataFrame) -> Field:
@@ -247,24 +409,34 @@ def trained(docs: DataFrame) -> Field:
     hashed = docs.where("text RLIKE '[0-9]{4}'").select(F.xxhash64("doc_id").alias("h"), "text")
     most = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes alone are sorted
     picked = hashed.where(F.col("h") <= F.lit(most))
-    rows = picked.mapInArrow(frugal(_sampled), "h long, tags array<int>, feats array<array<int>>").limit(SAMPLE_WINDOWS).collect()
-    rows.sort(key=lambda r: (r["h"], r["feats"]))
-    return fitted([([np.array(f, np.int32) for f in r["feats"]], list(r["tags"])) for r in rows])
-
-
-def added_spans(text: str, field: Field, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    found = picked.mapInArrow(frugal(_sampled), "rank double, held boolean, density int, first int, tags array<int>, near array<string>")
+    rows = found.orderBy("rank", "near", "first", "density").limit(SAMPLE_WINDOWS).collect()
+    share = rows[-1]["rank"] if len(rows) == SAMPLE_WINDOWS else 1.0  # of windows chosen
+    known: dict[str, Word] = {}
+    sample = []
+    for r in rows:
+        words = [known.get(p) or known.setdefault(p, Word(p)) for p in r["near"]]
+        sample.append((features(words, r["first"], r["first"] + len(r["tags"]), r["density"]), list(r["tags"])))
+    weights = np.array([1 / max(1e-9, min(1.0, share * (RICH if r["held"] else 1))) for r in rows])
+    # in units of the windows with likely tokens or secrets, so that l2 does not outweigh the few secrets of plain prose
+    telling = np.array([r["held"] or any(candidates(p) for p in r["near"]) for r in rows], bool)
+    return fitted(sample, weights / max(1.0, weights[telling].sum()))
+
+
+def added_spans(text: str, scores: Scores, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The field's spans that no base span overlaps."""
-    spans = candidates(text)
-    if not spans:
+    if not text or text.isspace():
         return []
-    d = density(text, spans)
+    emits, starts, ends = scores.of(text)
     out: list[list[int]] = []
-    for run in runs(text, spans):
-        for s, tag in zip(run, field.viterbi([features(text, s, d) for s in run])):
-            if tag == BEGIN or tag == INSIDE and not out:
-                out.append([*s])
+    for first, tags in scores.field.decoded(emits):
+        before = OUTSIDE
+        for t, tag in enumerate(tags, first):
+            if tag == BEGIN or tag == INSIDE and before == OUTSIDE:
+                out.append([int(starts[t]), int(ends[t])])
             elif tag == INSIDE:
-                out[-1][1] = s[1]
+                out[-1][1] = int(ends[t])
+            before = tag
     return [(i, 3, j) for i, j in out if not any(b[0] < j and i < b[2] for b in base)]
 
 
@@ -274,13 +446,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def _scan(field_of):
     def run(batches):
-        field = field_of.value
+        scores = Scores(field_of.value)
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             for t in b.column(1).to_pylist():
                 t = t or ""
                 base = base_spans(t)
-                every = sorted(base + added_spans(t, field, base))
+                every = sorted(base + added_spans(t, scores, base))
                 n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 for c, v in zip(cols, (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every))):
                     c.append(v)
@@ -303,14 +475,14 @@ def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 def _redact(field_of, at: int, mark: str):
     def run(batches):
-        field = field_of.value
+        scores = Scores(field_of.value)
         for b in batches:
             out = []
             for t in b.column(at).to_pylist():
                 if t:
                     base = base_spans(t)
                     parts, end = [], 0
-                    for i, _, j in sorted(base + added_spans(t, field, base)):
+                    for i, _, j in sorted(base + added_spans(t, scores, base)):
                         if i >= end:
                             parts += [t[end:i], mark]
                         end = max(end, j)

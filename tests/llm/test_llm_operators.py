@@ -386,6 +386,49 @@ def test_scan(spark, docs, odd):
     assert secrets.scanned(both.limit(0)).count() == 0
 
 
+def test_all_tokens_may_be_secrets():
+    """Letters alone, short words and groups parted by spaces: any token can begin or go on a secret."""
+    emit, move = np.zeros((3, secrets.DIMS)), np.zeros((3, 3))
+    move[secrets.OUTSIDE, secrets.INSIDE] = -1e3
+    emit[1:, secrets._ids(["bias"])] = -4
+    for before in ("passphrase", "code"):
+        emit[secrets.BEGIN, secrets._ids([f"before2 {before}"])] += 9
+    emit[secrets.INSIDE, secrets._ids(["before3 code"])] += 9
+    scores = secrets.Scores(secrets.Field(emit, move))
+    for text, want in (("a passphrase is qWfTzKplMnRsVbXy", ["qWfTzKplMnRsVbXy"]), ("the passphrase is zq .", ["zq"]), ("my code is ab cd \nok", ["ab cd"]), ("nothing here", [])):
+        assert [text[i:j] for i, _, j in secrets.added_spans(text, scores, [])] == want
+
+
+def test_whole_texts_are_decoded(docs):
+    """Runs between sure outside tokens give the same tags as Viterbi over the whole text, with the features of training."""
+    rng = np.random.default_rng(9)
+    emit = rng.normal(size=(3, secrets.DIMS))
+    emit[1:, secrets._ids(["bias"])] -= 8
+    scores = secrets.Scores(secrets.Field(emit, rng.normal(size=(3, 3))))
+    worth = lambda e, tags: e[np.arange(len(e)), tags].sum() + scores.field.move[np.r_[0, tags], np.r_[tags, 0]].sum()
+    runs = 0
+    for r in docs.where("text IS NOT NULL AND n_chars BETWEEN 20 AND 4000").orderBy("doc_id").limit(40).collect():
+        e, starts, ends = scores.of(r["text"])
+        assert [r["text"][i:j] for i, j in zip(starts, ends)] == [p.lstrip() for p in secrets.pieces(r["text"])]
+        assert np.allclose(e, [emit[:, f].sum(1) for run, _ in secrets.windows(r["text"]) for f in run])
+        tags = np.zeros(len(e), int)
+        for first, own in scores.field.decoded(e):
+            tags[first : first + len(own)] = own
+            runs += 1
+        assert np.isclose(worth(e, tags), worth(e, np.array(scores.field.best(e))), rtol=0, atol=1e-6)  # repeated words tie
+    assert runs > 40
+
+
+def test_sample_of_windows(spark, monkeypatch):
+    """The windows of the sample do not depend on partitions or the order of rows."""
+    monkeypatch.setattr(secrets, "SAMPLE_WINDOWS", 40)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["word", "12345678", "token=Abcd1234Efgh", "9999", "x"]) for _ in range(60))) for i in range(60)]
+    one = secrets.trained(spark.createDataFrame(rows, "doc_id long, text string").repartition(1))
+    two = secrets.trained(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7))
+    assert np.array_equal(one.emit, two.emit) and np.array_equal(one.move, two.move) and one.emit.any()
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------
 
 
