@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the next one's documents, with the columns of documents; the last
 gives token ids. Every stage works on all rows that its predecessor kept. Empty tables pass through all stages.
-Lists of documents that go are written first, so that Spark knows their size: short ones are broadcast and the texts stay
+Within a stage rows are told apart by a number, so null and repeated doc_ids neither save nor lose a row.
+Lists of rows that go are written first, so that Spark knows their size: short ones are broadcast and the texts stay
 where they are, long ones are joined by a shuffle.
 """
 
@@ -18,22 +19,39 @@ from gridquarry.llm.common import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: A number of each row within a stage, as doc_id may be null or repeated.
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of docs with a number for each row, written so that every reading sees the same numbers."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), name)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or their host's verdict rejects go."""
     return quality.judged(docs).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the one with the least doc_id stays."""
-    gone = written(near_dedup.groups(docs, k=5, percent=80).where("NOT kept").select("doc_id"), "pipeline-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: that of the least doc_id, null ids last."""
+    rows = _keyed(docs, "pipeline-rows")
+    groups = near_dedup.groups(rows.select(F.col(ROW).alias("doc_id"), "text"), k=5, percent=80)
+    # row numbers stand for rows in the groups; which one stays is decided by doc_id, as a number's order says nothing
+    members = written(groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"), "kept"), "pipeline-groups")
+    shared = members.where("NOT kept").select("group").distinct()
+    near = members.join(shared, "group").join(rows.select(ROW, "doc_id"), ROW)
+    stays = near.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("stays"))
+    gone = written(near.join(stays, "group").where(f"{ROW} <> stays").select(ROW), "pipeline-copies")
+    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
+    """Rows whose text contains an item of the benchmark go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = written(decontam.contained(docs, items, k=5, percent=80).select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _keyed(docs, "pipeline-rows")
+    leaks = written(decontam.contained(rows.select(F.col(ROW).alias("doc_id"), "text"), items, k=5, percent=80).select(F.col("doc_id").alias(ROW)).distinct(), "pipeline-leaks")
+    return rows.join(leaks, ROW, "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,19 @@ def test_odd_rows(spark):
             docs, before = out, n
     for name, stage in corpus_pipeline.STAGES[1:]:  # odd rows themselves, at every stage
         assert stage(spark, odd, SF).count() > 0
+
+
+def test_rows_of_one_id(spark):
+    """Null and repeated doc_ids: just one row of a group stays, and no row is lost for another's sake."""
+    a, u, v = (" ".join(f"{w}{i}" for i in range(40)) for w in "auv")
+    rows = [(5, a), (None, a), (5, a), (3, a), (3, a), (7, a), (7, u), (None, v), (None, v), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    out = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=key)
+    assert out == sorted([(3, a), (7, u), (None, v), (9, ""), (9, ""), (None, None)], key=key)
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, leak), (4, f"{u} {leak} {v}"), (4, u), (4, u), (None, v), (8, leak), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    out = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, docs, SF).collect()), key=key)
+    assert out == sorted([(4, u), (4, u), (None, v), (None, None)], key=key)
