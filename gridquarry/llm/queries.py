@@ -76,8 +76,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=5, percent=80)
 
 
-def _rollup(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Inserts all counts, deletes documents of under 200 characters, revises English counts by an end token, and commits the revision twice."""
+def _rollup(spark: SparkSession, docs: DataFrame, counts: DataFrame, whole: bool) -> DataFrame:
+    """Inserts all counts, deletes documents of under 200 characters, revises English counts by an end token, and commits the revision twice; whole: puts all counts back as they were."""
     rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
     rollup.commit("0001-insert", counts.withColumn("op", F.lit("upsert")))
     now = rollup.current()
@@ -86,19 +86,27 @@ def _rollup(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> DataFram
     revised = rollup.current().where("lang = 'en'").withColumn("n_tokens", F.col("n_tokens") + 1).withColumn("op", F.lit("upsert"))
     rollup.commit("0003-revise", revised)
     rollup.commit("0003-revise", revised)
+    if whole:
+        rollup.commit("0004-restore", gone.unionByName(now.where("lang = 'en'")).withColumn("op", F.lit("upsert")))
     return rollup.totals()
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     bpe = token_counts.counted(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, "byte-bpe-50k")
-    return _rollup(spark, docs, bpe.unionByName(token_counts.words_counted(docs)))
+    return _rollup(spark, docs, bpe.unionByName(token_counts.words_counted(docs)), whole=True)
 
 
 def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup of operator 5 over word counts alone, which SQL can express."""
     docs = _table(spark, sf_dir, "documents")
-    return _rollup(spark, docs, token_counts.words_counted(docs))
+    return _rollup(spark, docs, token_counts.words_counted(docs), whole=False)
+
+
+def token_rollup_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all documents and their own counts at the end, as in operator 5."""
+    docs = _table(spark, sf_dir, "documents")
+    return _rollup(spark, docs, token_counts.words_counted(docs), whole=True)
 
 
 TOKEN_ROLLUP_WORDS_SQL = r"""
@@ -107,6 +115,12 @@ SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs,
 FROM documents WHERE n_chars >= 200 GROUP BY source, lang
 """
 
+TOKEN_ROLLUP_WORDS_ALL_SQL = r"""
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs,
+       CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens
+FROM documents GROUP BY source, lang
+"""
+
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
@@ -143,6 +157,7 @@ QUERIES = {
         op4_benchmark_decontamination,
         op5_token_counts,
         token_rollup_words,
+        token_rollup_words_all,
         op6_byte_bpe,
         op7_token_files,
         op8_toxicity,
@@ -156,5 +171,6 @@ ORACLE_SQL = {
     "op3_minhash_near_dedup": near_dedup.SQL,
     "op4_benchmark_decontamination": decontam.SQL,
     "token_rollup_words": TOKEN_ROLLUP_WORDS_SQL,
+    "token_rollup_words_all": TOKEN_ROLLUP_WORDS_ALL_SQL,
     "op10_quality_rules": quality.SQL,
 }

@@ -246,6 +246,15 @@ def test_token_counts(spark, odd):
     assert got == {r[0]: len(enc.encode_ordinary(r[1] or "")) for r in ODD}
 
 
+def test_totals_of_all_documents(spark, docs):
+    """op5 counts every document, short ones too, with its own tokens."""
+    rows = queries.op5_token_counts(spark, "/root/testdata/sf0.001").collect()
+    want = {(r["source"], r["lang"]): (r["n"], r["t"]) for r in docs.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.size(F.expr("filter(split(text, '[ \\\\t-\\\\r]+'), x -> x <> '')")).cast("long")).alias("t")).collect()}
+    words = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in rows if r["tokenizer"] == "words-1"}
+    assert words == want
+    assert {(r["source"], r["lang"]): r["n_docs"] for r in rows if r["tokenizer"] == "byte-bpe-50k"} == {k: n for k, (n, _) in want.items()}
+
+
 # ---- 6 ------------------------------------------------------------------------------------------------------------
 
 
