@@ -3,8 +3,9 @@
 Each page is read once into blocks (text between block-level tags) with their root-to-leaf tag path. For every path the
 text length, punctuation and link characters of its blocks are summed; a path's ratio is text and punctuation per
 block. The sequence of blocks is smoothed with a Gaussian over their neighbours' ratios, both are fused by their
-geometric mean, and blocks at or above a share of the page's spread are content nodes. The smallest container that
-holds nearly all content, widened to its article or main element, gives the text: its blocks in page order without
+geometric mean, and blocks at or above a share of the page's spread are content nodes. The article or main
+element around nearly all content, or else the smallest container of all content (with several articles, of the content
+of all of them), gives the text: its blocks in page order without
 those under boilerplate elements (navigation, forms, asides, advert, notice, comment and similar class names).
 
 Character references are decoded; white space in a block becomes one space; blocks are joined by a line feed.
@@ -176,6 +177,12 @@ def scores(found: list[Block], sigma: float = 1.0, reach: int = 2) -> list[float
     return out
 
 
+def _container(weight: dict, depth: dict, least: float) -> tuple[int, str] | None:
+    """The deepest element that holds so many characters of the content and is none of text alone."""
+    holders = [e for e, n in weight.items() if n >= least and e[1] not in LEAF]
+    return max(holders, key=lambda e: depth[e], default=None)
+
+
 def main_text(page: str | None, share: float = 0.5) -> str:
     """The text of a page's article; see the module's text."""
     found = [b for b in blocks(page or "") if not b.junk]
@@ -193,15 +200,22 @@ def main_text(page: str | None, share: float = 0.5) -> str:
             weight[e] += len(b.text)
             depth[e] = d
     total = sum(len(b.text) for b in content)
-    holders = [e for e, n in weight.items() if n >= 0.8 * total and e[1] not in LEAF]
-    if not holders:
+    best = _container(weight, depth, 0.8 * total)
+    chain = next((b.chain for b in content if best in b.chain), ())
+    held = [b for b in content if any(e[1] in ("article", "main") for e in b.chain)]
+    own = next((e for e in chain[: chain.index(best) + 1] if e[1] in ("article", "main")), None) if best else None
+    if own is None:  # nothing names the article: all content counts
+        best = _container(weight, depth, total)
+    elif all(own in b.chain for b in held):
+        best = own
+    else:  # several articles: what holds the content of all
+        inside: dict[tuple[int, str], int] = defaultdict(int)
+        for b in held:
+            for e in b.chain:
+                inside[e] += len(b.text)
+        best = _container(inside, depth, sum(len(b.text) for b in held))
+    if best is None:
         return "\n".join(b.text for b in found)
-    best = max(holders, key=lambda e: depth[e])
-    chain = next(b.chain for b in content if best in b.chain)
-    for e in chain[: chain.index(best)]:
-        if e[1] in ("article", "main"):
-            best = e
-            break
     first = next(i for i, b in enumerate(found) if best in b.chain)
     title = [b.text for b in found[:first] if b.chain and b.chain[-1][1] == "h1"]
     return "\n".join(title + [b.text for b in found if best in b.chain])

@@ -139,6 +139,16 @@ def test_html_names():
         assert html_extract.main_text(page) == text, before
 
 
+def test_html_parts():
+    """A text that is split over parts is whole, with the lesser parts, with and without articles."""
+    para = lambda n: [f"This is paragraph {i} of part {n}, long enough, with commas, to be content." for i in range(17 if n == 1 else 3)]
+    put = lambda n: "".join(f"<p>{t}</p>" for t in para(n))
+    want = "\n".join(para(1) + para(2))
+    for tag, close in (('<div class="part">', "</div>"), ("<section>", "</section>"), ("<article>", "</article>")):
+        page = f'<body><div class="menu"><a href="/">Home</a></div><div class="content">{tag}{put(1)}{close}{tag}{put(2)}{close}</div><footer>End.</footer></body>'
+        assert html_extract.main_text(page) == want, tag
+
+
 def test_html_odd(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "<<<a<b <!-- x"), (5, "u", "plain text"), (6, "u", "<a" * 50_000), (7, "u", "<div>" * 3000 + "x"), (8, None, "<article><p>" + "word " * 100_000 + "</article>"), (8, None, "<article><p>a</p></article>"), (9, "u", "<a href='x>y</a> <p>t\x00</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
