@@ -3,7 +3,7 @@
 A list is dated entries (key, action, since): a key is a host suffix ("example.org" covers its subdomains) or a host
 with a leading path ("example.org/ads"); an entry holds until the next entry of its key. The entries become validity
 intervals [since, until) by a lead over their key. Each capture gives its candidate keys (host suffixes and path
-prefixes) and is joined, as of its fetch time, to the entry that was active then: an equality join on the key and the
+prefixes, of all lengths that the list has) and is joined, as of its fetch time, to the entry that was active then: an equality join on the key and the
 interval's month, so that a host with a third of all captures, or a key with a long history, is spread over months
 (and skewed joins split at run time), and no capture meets more than one entry of a key. Of the active entries of a
 capture the most specific decides: the longest key, then block before allow. Captures without an active entry pass.
@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most labels of a host and segments of a path that make keys; longer ones are covered by their last and first ones.
-LABELS, SEGMENTS = 8, 4
+#: All times from this month on share one key of the join.
+LAST_MONTH = 2100 * 12 + 1
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)"
 RESULTS = ("host", "matched_key", "action", "since", "allowed")
@@ -31,29 +31,44 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
 
 
-def keys_of(url: Column, host: Column) -> Column:
-    """The keys that may cover a URL: host suffixes of two labels or more, and the host with leading path segments."""
-    labels = F.split(host, r"\.")
-    n = F.least(F.size(labels), F.lit(LABELS))
-    suffixes = F.transform(F.sequence(F.lit(2), n), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
-    segments = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
-    m = F.least(F.size(segments), F.lit(SEGMENTS))
-    paths = F.transform(F.sequence(F.lit(1), m), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")))
-    none = F.array().cast("array<string>")
-    return F.when(F.coalesce(host, F.lit("")) == "", none).otherwise(
-        F.concat(F.when(n >= 2, suffixes).otherwise(F.array(host)), F.when(m >= 1, paths).otherwise(none))
-    )
+def keys_of(url: Column, host: Column, labels: list[int] | None = None, segments: list[int] | None = None) -> Column:
+    """The keys that may cover a URL: all host suffixes, and the host with leading path segments; of the given numbers of labels and segments alone, if any are given."""
+    parts = F.split(host, r"\.")
+    steps = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
+
+    def numbers(given: list[int] | None, most: Column) -> Column:
+        if given is None:
+            return F.when(most >= 1, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.array(*map(F.lit, given)).cast("array<int>"), lambda k: k <= most)
+
+    suffixes = F.transform(numbers(labels, F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+    paths = F.transform(numbers(segments, F.size(steps)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, k), "/")))
+    return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.concat(suffixes, paths))
+
+
+def lengths(spans: DataFrame) -> tuple[list[int], list[int]]:
+    """The numbers of labels of the keys without a path, and of segments of those with one."""
+    slash = F.instr("key", "/")
+    labels = F.when(slash == 0, F.size(F.split("key", r"\.")))
+    segments = F.when(slash > 0, F.size(F.split("key", "/")) - 1)
+    found = spans.agg(F.collect_set(labels), F.collect_set(segments)).first()
+    return sorted(found[0]), sorted(found[1])
+
+
+def _key(key: Column) -> Column:
+    """A key with its host in lower case, as captures have it; paths tell case apart."""
+    return F.concat(F.lower(F.substring_index(key, "/", 1)), F.regexp_extract(key, r"^[^/]*((?s:/.*)?)$", 1))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """key, action, since, until: entries (key, action, since) as validity intervals; until is null for the last."""
-    clean = entries.where("key IS NOT NULL AND action IS NOT NULL AND since IS NOT NULL").select(F.lower("key").alias("key"), "action", "since")
+    clean = entries.where("key IS NOT NULL AND action IS NOT NULL AND since IS NOT NULL").select(_key(F.col("key")).alias("key"), "action", "since")
     at = clean.groupBy("key", "since").agg(F.max("action").alias("action"))  # 'block' > 'allow'
     return at.withColumn("until", F.lead("since").over(Window.partitionBy("key").orderBy("since")))
 
 
 def _month(at: Column) -> Column:
-    return F.year(at) * 12 + F.month(at)
+    return F.least(F.year(at) * 12 + F.month(at), F.lit(LAST_MONTH))
 
 
 def filtered(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
@@ -62,9 +77,10 @@ def filtered(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     base = captures.select(*keep, host_of(F.col(url)).alias("host"))
     asks = captures.select(F.col(url).alias("__url"), F.col(fetched).alias("__at")).where("__url IS NOT NULL AND __at IS NOT NULL").distinct()
     spans = intervals(entries)
-    last = F.coalesce(F.col("until"), F.greatest(F.col("since"), F.lit("2100-01-01").cast("timestamp")))
-    spans = spans.withColumn("month", F.explode(F.sequence(_month(F.col("since")), _month(last))))
-    asked = asks.withColumn("key", F.explode(keys_of(F.col("__url"), host_of(F.col("__url"))))).withColumn("month", _month(F.col("__at")))
+    labels, segments = lengths(spans)
+    last = F.coalesce(_month(F.col("until")), F.lit(LAST_MONTH))
+    spans = spans.withColumn("month", F.explode(F.sequence(_month(F.col("since")), last)))
+    asked = asks.withColumn("key", F.explode(keys_of(F.col("__url"), host_of(F.col("__url")), labels, segments))).withColumn("month", _month(F.col("__at")))
     hit = (
         asked.join(spans, ["key", "month"])
         .where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))

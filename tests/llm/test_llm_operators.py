@@ -96,6 +96,19 @@ def test_url_filters(spark):
     assert url_filters.filtered(captures, entries.limit(0)).where("NOT allowed").count() == 0
 
 
+def test_url_filters_of_any_length(spark):
+    """Long hosts and paths, keys with upper case, single labels, and captures long after an open entry."""
+    host = ".".join("abcdefghij") + ".Org"
+    urls = [f"http://{host}/", f"http://x.{host}/", f"http://{host[2:]}/", "http://p.org/1/2/3/4/5/6", "http://p.org/1/2/3/4", "http://p.org/Ads/x", "http://p.org/ads/x", "http://q.zip/", "http://localhost/"]
+    captures = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("fetched", F.to_timestamp(F.lit("2151-05-05")))
+    keys = [host, "p.org/1/2/3/4/5", "P.org/Ads", "zip", "LOCALHOST"]
+    entries = spark.createDataFrame([(k, "block") for k in keys], "key string, action string").withColumn("since", F.to_timestamp(F.lit("2024-01-01")))
+    late = spark.createDataFrame([("zip", "allow")], "key string, action string").withColumn("since", F.to_timestamp(F.lit("2150-01-01")))
+    want = {0: False, 1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
+    assert {r["page_id"]: r["allowed"] for r in url_filters.filtered(captures, entries).collect()} == want
+    assert {r["page_id"]: r["allowed"] for r in url_filters.filtered(captures, entries.union(late)).collect()} == want | {7: True}
+
+
 # ---- 2 ------------------------------------------------------------------------------------------------------------
 
 
