@@ -47,7 +47,7 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 20_000
 #: Least tokens of a window, and how many times as often one with a secret is chosen.
 WINDOW, RICH = 8, 16
 #: Characters of a word that make its features, and words remembered by a task.
-HEAD, REMEMBERED = 64, 200_000
+HEAD, REMEMBERED = 64, 100_000
 KEYS = frozenset(("password", "passwd", "secret", "token", "apikey", "api_key", "key"))
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 _HEX = np.zeros(256, bool)
@@ -387,21 +387,34 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float
     return Field(emit, move)
 
 
-def _sampled(batches):
+def _ranked(text: str | None, h: int):
+    """Rank, whether it holds a secret, tags, first own token and pieces, with those around, of each window."""
+    parts, tags, at = cuts(text or "")
+    for i, j in zip(at, [*at[1:], len(parts)]):
+        near = [" " * (p[:1].isspace()) + p.lstrip()[:HEAD] for p in parts[max(0, i - 3) : j + 1]]
+        key = hashlib.blake2b(f"{h} {i} {near}".encode("utf-8", "replace"), digest_size=7).digest()
+        held = bool(tags[i:j].any())
+        yield int.from_bytes(key, "little") / 2**56 / (RICH if held else 1), held, tags[i:j].tolist(), min(i, 3), near
+
+
+def _ranks(batches):
     for b in batches:
-        out: list[list] = [[] for _ in range(6)]
         for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            parts, tags, at = cuts(text or "")
-            d = density(text, candidates(text)) if parts else 0
-            for i, j in zip(at, [*at[1:], len(parts)]):
-                near = [" " * (p[:1].isspace()) + p.lstrip()[:HEAD] for p in parts[max(0, i - 3) : j + 1]]
-                key = hashlib.blake2b(f"{h} {i} {near}".encode("utf-8", "replace"), digest_size=7).digest()
-                held = bool(tags[i:j].any())
-                rank = int.from_bytes(key, "little") / 2**56 / (RICH if held else 1)
-                for c, v in zip(out, (rank, held, d, min(i, 3), tags[i:j].tolist(), near)):
-                    c.append(v)
-        types = (pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["rank", "held", "density", "first", "tags", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in _ranked(text, h)], pa.float64())], ["rank"])
+
+
+def _sampled(most: float):
+    def run(batches):
+        types = (pa.float64(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string()), pa.int32())
+        for b in batches:
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = [r for r in _ranked(text, h) if r[0] <= most]
+                if rows:
+                    d = density(text, candidates(text))
+                    cols = [*zip(*rows), [d] * len(rows)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["rank", "held", "tags", "first", "near", "density"])
+
+    return run
 
 
 def trained(docs: DataFrame) -> Field:
@@ -409,7 +422,9 @@ def trained(docs: DataFrame) -> Field:
     hashed = docs.where("text RLIKE '[0-9]{4}'").select(F.xxhash64("doc_id").alias("h"), "text")
     most = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes alone are sorted
     picked = hashed.where(F.col("h") <= F.lit(most))
-    found = picked.mapInArrow(frugal(_sampled), "rank double, held boolean, density int, first int, tags array<int>, near array<string>")
+    ranks = picked.mapInArrow(frugal(_ranks), "rank double").orderBy("rank").limit(SAMPLE_WINDOWS)  # ranks alone are sorted
+    least = ranks.agg(F.max("rank")).first()[0]
+    found = picked.mapInArrow(frugal(_sampled(1.0 if least is None else least)), "rank double, held boolean, tags array<int>, first int, near array<string>, density int")
     rows = found.orderBy("rank", "near", "first", "density").limit(SAMPLE_WINDOWS).collect()
     share = rows[-1]["rank"] if len(rows) == SAMPLE_WINDOWS else 1.0  # of windows chosen
     known: dict[str, Word] = {}
