@@ -162,6 +162,66 @@ def test_html_parts():
         assert html_extract.main_text(page) == want, tag
 
 
+
+def paragraphs(n, k=8):
+    return [f"This is paragraph {i} of part {n}, long enough, with commas, to be content of it." for i in range(k)]
+
+
+def put(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_html_spans():
+    """The whole span of a text without article elements, and nothing beside it, without telling class names."""
+    want = "\n".join(paragraphs(1, 1) + paragraphs(2))
+    assert html_extract.main_text(f"<div class=content><div class=lead>{put(paragraphs(1, 1))}</div><div class=rest>{put(paragraphs(2))}</div></div>") == want
+    links, end = "<a href=1>Home</a> <a href=2>News</a>", "Copyright notice 2024"
+    for menu, foot in ((links, end), (f"<p>{links}</p>", f"<p>{end}</p>"), ("<ul><li><a href=1>Home</a><li><a href=2>News</a></ul>", f"<p>{end}</p>")):
+        page = f"<body><div>{menu}</div><div>{put(paragraphs(1))}</div><div>{foot}</div></body>"
+        assert html_extract.main_text(page) == "\n".join(paragraphs(1))
+        text = " ".join(paragraphs(1))
+        assert html_extract.main_text(f"<body><div>{menu}</div><div>{text}</div><div>{foot}</div></body>") == text
+
+
+def test_html_words_in_names():
+    """A mark in a name that is about something else is kept, and one that names boilerplate is not, inside an article too."""
+    kept = "<p class=share-price>The price rose.</p><p class='notice-board'>A board.</p><p class=banner-story>Story.</p><table class=menu-prices><tr><td>Soup</td><td>5</td></tr></table>"
+    gone = "<div class=ad-box>Buy now!</div><div class='post share-buttons'>Tell others.</div><div class=userComments><p>Not so, says a reader.</p></div>"
+    want = paragraphs(1) + ["The price rose.", "A board.", "Story.", "Soup", "5"] + paragraphs(2)
+    for tag in ("article", "div"):
+        page = f"<body><{tag}>{put(paragraphs(1))}{kept}{gone}{put(paragraphs(2))}</{tag}></body>"
+        assert html_extract.main_text(page).split("\n") == want, tag
+    assert html_extract.main_text("<div class=comment><p>Only a comment, alone on this page.</p></div>") == "Only a comment, alone on this page."
+
+
+def test_html_formulas():
+    page = "<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, see <svg><title>T</title><text>label</text></svg> <object>text</object>.</p></article>"
+    assert html_extract.main_text(page) == "The formula x=2 holds, see label text."
+
+
+def test_html_scores_decide(spark, monkeypatch):
+    """With constant scores every page of the tables gets another text."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    own = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "scores", lambda page, weights: [1.0] * len(page.node))
+    assert not any(html_extract.main_text(p) == t for p, t in zip(pages, own))
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<p>" * 50_000 + "</b>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<b><div>" * 50_000 + "</b>" * 50_000, "<ul><li>x" * 50_000, "<p><button>" + "<x>" * 50_000 + "<div></div>" * 50_000])
+def test_html_depth(page):
+    """Time and memory are linear in the page, however it nests."""
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - start < 20
+    tracemalloc.start()
+    html_extract.main_text(page[: len(page) // 4])
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+
+
 def test_html_odd(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "<<<a<b <!-- x"), (5, "u", "plain text"), (6, "u", "<a" * 50_000), (7, "u", "<div>" * 3000 + "x"), (8, None, "<article><p>" + "word " * 100_000 + "</article>"), (8, None, "<article><p>a</p></article>"), (9, "u", "<a href='x>y</a> <p>t\x00</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
