@@ -6,17 +6,23 @@ Scores of a word are remembered, so that those of a text are sums of looked-up r
 best sequence, whatever its neighbours' tags (a bound on what another tag could gain), parts the chain: the runs between
 such tokens are decoded one by one, exactly as over the whole text.
 
-The field is trained on the driver from a bounded sample: windows of at most SAMPLE_DOCS labelled-by-pattern texts,
-chosen by hash of doc_id, tags taken from the base spans (of an assignment, its value). Of the windows SAMPLE_WINDOWS are
-chosen by a hash of doc_id, position and words; those that hold a secret are chosen RICH times as often and weigh less by
-as much. Weights are a few thousand doubles.
-Scanning covers every whole text. Nulls are empty texts; empty texts have no spans; spans of one start are ordered by
+The field is trained on the driver from a bounded sample of windows, features and tags made by the tasks: of at most
+SAMPLE_DOCS texts with four digits in a row and PLAIN_DOCS others, chosen by hash of doc_id, SAMPLE_WINDOWS windows by a
+hash of doc_id, position and words; those that hold a secret of the base kinds are chosen RICH times as often and weigh less by
+as much. So that it learns more than the fixed patterns, the sample also holds, made from the same hash: every window with a
+base secret once more with its key words and fixed prefixes hidden; and in each PLANT-th other window a planted
+secret (letters alone, mixed, base64, groups of a code, short ones after a cue, with and without key words) or a decoy
+(addresses, numbers, dates, names of code and files, words in capitals), which is outside. Weights are a few thousand doubles.
+
+Words count whole, however long. Scanning covers every whole text, in steps of STEP characters that end at white space, so
+that memory beyond the text is a few numbers a token. Nulls are empty texts; empty texts have no spans; spans of one start are ordered by
 kind; repeated rows are scanned alike; extra columns are ignored. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -42,12 +48,24 @@ DIGITS = re.compile(r"[0-9]+")
 BODY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 LEAST = 8
 DIMS = 1 << 13
-#: Most texts and windows of the training sample.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 20_000
+#: Most texts (with four digits in a row, and others) and windows of the training sample.
+SAMPLE_DOCS, PLAIN_DOCS, SAMPLE_WINDOWS = 4000, 1000, 12_000
 #: Least tokens of a window, and how many times as often one with a secret is chosen.
 WINDOW, RICH = 8, 16
-#: Characters of a word that make its features, and words remembered by a task.
-HEAD, REMEMBERED = 64, 100_000
+#: Of how many windows one gets a planted secret or decoy, and what all windows as they are, with secrets and with decoys weigh.
+PLANT, REAL, PLANTED, DECOYS = 2, 800.0, 300.0, 100.0
+#: Words remembered by a task, the longest of them, and characters of a text that are looked at in one step.
+REMEMBERED, LONGEST, STEP = 100_000, 256, 1 << 18
+#: Log-odds that a secret must have beyond what the sample says.
+MARGIN = 1.5
+# ---- fixed values: words before secrets, and what public kinds of keys begin with ---------------------------------
+CUES = (
+    "passphrase password passwd pwd pass passcode pin credential credentials login auth authorization bearer secret token key apikey api_key access_key private_key "
+    "client_secret signature webhook session code licence license recovery seed Passwort Kennwort contraseña clave mot clé"
+).split()
+LINKS = ("", ":", "=", "is", ":=", "->", "ist", "est", "es")
+PREFIXES = "ghp_ gho_ sk_live_ xoxb- glpat- npm_ AIza ASIA eyJ".split()
+# -------------------------------------------------------------------------------------------------------------------
 KEYS = frozenset(("password", "passwd", "secret", "token", "apikey", "api_key", "key"))
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 _HEX = np.zeros(256, bool)
@@ -97,12 +115,19 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 _CLASS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "9" * 10)
 _REPEATED = re.compile(r"(.)\1+", re.S)
+#: All that a word of the secret alphabet may hold but consonants, as spaces.
+_SOFT = str.maketrans(dict.fromkeys("aeiouyAEIOUY0123456789+/_-", " "))
+
+
+def _classes(word: str) -> str:
+    """The classes of a word's characters, runs of one as one."""
+    kinds = word.translate(_CLASS) if word.isascii() else "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in word)
+    return _REPEATED.sub(r"\1", kinds)
 
 
 def _shape(word: str) -> str:
-    head = word[:64]
-    kinds = head.translate(_CLASS) if head.isascii() else "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in head)
-    return _REPEATED.sub(r"\1", kinds)[:12]
+    """The first twelve runs of classes."""
+    return _classes(word)[:12]
 
 
 def _ids(names: list[str]) -> np.ndarray:
@@ -115,17 +140,21 @@ def pieces(text: str) -> list[str]:
 
 
 def traits(word: str) -> tuple:
-    """What a word itself shows."""
-    head = word[:HEAD]
-    n = len(head)
-    digits = 0 if head.isalpha() else sum(map(str.isdigit, head))
-    upper = not digits and head.isupper() and head.isalpha() or bool(digits) and all(c.isupper() or c.isdigit() for c in head)
-    return _shape(head), min(n // 4, 12), 10 * digits // n, not head.strip("0123456789abcdef"), n >= 16, upper, head[:4] == "AKIA", digits < n, 10 * len(set(head)) // min(n, 24), digits > 0 and n >= LEAST
+    """What a word itself shows, of all its characters."""
+    n = len(word)
+    runs = "a" if word.islower() and word.isalpha() else _classes(word)
+    digits = 0 if word.isalpha() else sum(map(str.isdigit, word))
+    upper = runs != "a" and not digits and word.isupper() and word.isalpha() or bool(digits) and all(c.isupper() or c.isdigit() for c in word)
+    hard = max(map(len, word.translate(_SOFT).split()), default=0)
+    return (
+        runs[:12], min(n // 4, 12) if n < 64 else 13 + min(n.bit_length() - 7, 6), 10 * digits // n, not word.strip("0123456789abcdef"), n >= 16, upper, word[:4] == "AKIA", digits < n,
+        10 * len(set(word)) // min(n, 24), digits > 0 and n >= LEAST, min(len(runs), 12), min(hard, 8), 10 * len(runs) // n if n >= 6 else -1,
+    )
 
 
 def word_features(shown: tuple) -> list[str]:
     """Names of traits."""
-    shape, length, digits, hexes, long, upper, akia, letters, variety, likely = shown
+    shape, length, digits, hexes, long, upper, akia, letters, variety, likely, runs, hard, turns = shown
     return [
         "bias",
         f"shape {shape}",
@@ -136,6 +165,9 @@ def word_features(shown: tuple) -> list[str]:
         f"letters {letters}",
         f"variety {variety}",
         f"likely {likely}",
+        f"runs {runs} {min(length, 4)}",
+        f"hard {hard} {upper}",
+        f"turns {turns} {long}",
     ]
 
 
@@ -165,8 +197,9 @@ class Word:
 
 _SPACE = _ids([f"space {a} {b}" for a in (False, True) for b in (False, True)])
 _KEYED = _ids([f"keyed {a}" for a in (False, True)])
-#: Features of a token: its word's, space, density, three words before, one after, keyed. DIMS stands for none.
-WIDTH = 9 + 1 + 1 + 3 + 1 + 1
+#: Features of a token: its word's (OWN), space, density, three words before, one after, keyed. DIMS stands for none.
+OWN = 12
+WIDTH = OWN + 1 + 1 + 3 + 1 + 1
 
 
 def features(words: list[Word], first: int, last: int, density: int, trails: bool = False) -> np.ndarray:
@@ -176,14 +209,14 @@ def features(words: list[Word], first: int, last: int, density: int, trails: boo
     for row, t in zip(out, range(first, last)):
         after = words[t + 1] if t + 1 < len(words) else None
         before = words[max(0, t - 3) : t][::-1]
-        row[:9] = words[t].own
-        row[9] = _SPACE[2 * words[t].spaced + (after.spaced if after else trails)]
-        row[10] = dense
+        row[:OWN] = words[t].own
+        row[OWN] = _SPACE[2 * words[t].spaced + (after.spaced if after else trails)]
+        row[OWN + 1] = dense
         for k, w in enumerate(before):
-            row[11 + k] = w.around[k]
+            row[OWN + 2 + k] = w.around[k]
         if after:
-            row[14] = after.around[3]
-        row[15] = _KEYED[int(any(w.keyed for w in before))]
+            row[OWN + 5] = after.around[3]
+        row[OWN + 6] = _KEYED[int(any(w.keyed for w in before))]
     return out
 
 
@@ -274,12 +307,18 @@ class Field:
         open_ = np.flatnonzero(~self.outside(emits))
         if not len(open_):
             return []
-        parts = np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1)
-        return [(int(p[0]), self.best(emits[p[0] : p[-1] + 1])) for p in parts]
+        first = np.flatnonzero(np.diff(open_, prepend=-2) > 1)
+        last = np.append(first[1:], len(open_)) - 1
+        alone = first[first == last]  # runs of one token, all at once
+        tags = (emits[open_[alone]] + (self.move[OUTSIDE] + self.move[:, OUTSIDE])).argmax(1)
+        out = [(int(open_[i]), [int(tag)]) for i, tag in zip(alone[tags != OUTSIDE], tags[tags != OUTSIDE])]
+        out += [(int(open_[i]), self.best(emits[open_[i] : open_[j] + 1])) for i, j in zip(first, last) if i < j]
+        return sorted(out)
 
 
 class Scores(dict):
-    """The scores that a field gives to words, remembered by piece."""
+    """The scores that a field gives to words, remembered by piece: a row of its own scores, those it gives to the three
+    words after it and to the one before, and whether it is a key word or follows a space, its size and length."""
 
     def __init__(self, field: Field):
         self.field = field
@@ -291,48 +330,101 @@ class Scores(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.own: dict[tuple, np.ndarray] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.own = np.zeros((0, 3))
         self.n = 0
-        self.score, self.flags = np.zeros((5, 1024, 3)), np.zeros((4, 1024), np.int64)
+        self.score, self.flags = np.zeros((1024, 15)), np.zeros((1024, 4), np.int32)
+        self.fresh()
+
+    def fresh(self) -> None:
+        """Words that are known but have no row yet: their own kind, what they give to neighbours and flags; copies of others."""
+        self.new: tuple[list, list, list, list] = ([], [], [], [])
+        self.copies: list[tuple[int, int, int]] = []
+        self.new_kinds: list[tuple] = []
+
+    def settle(self) -> None:
+        """Rows for the new words, all at once."""
+        while self.n > len(self.flags):
+            self.score = np.concatenate([self.score, np.zeros_like(self.score)])
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
+        if self.new_kinds:
+            ids = np.stack([_ids(word_features(k)) for k in self.new_kinds])
+            self.own = np.concatenate([self.own, self.turned[ids].sum(1)])
+        at, kinds, beside, flags = self.new
+        if at:
+            self.score[at, :3] = self.own[kinds]
+            self.score[at, 3:] = self.turned[np.array(beside)].reshape(len(at), 12)
+            self.flags[at] = flags
+        if self.copies:
+            at, known, size = np.array(self.copies).T
+            self.score[at], self.flags[at] = self.score[known], self.flags[known]
+            self.flags[at, 1], self.flags[at, 2] = 1, size
+        self.fresh()
 
     def __missing__(self, piece: str) -> int:
         n, word = self.n, piece.lstrip()
-        if n == self.flags.shape[1]:
-            self.score = np.concatenate([self.score, np.zeros_like(self.score)], 1)
-            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)], 1)
-        shown = traits(word)
-        if (own := self.own.get(shown)) is None:
-            own = self.own[shown] = self.field.emit[:, _ids(word_features(shown))].sum(1)
-        low = word.lower() if len(word) < 16 else shown[0]
-        self.score[0, n] = own
-        self.score[1:, n] = self.turned[around(low)]
-        self.flags[:, n] = low in KEYS, len(word) < len(piece), len(piece), len(word)
+        size, length = len(piece), len(word)
+        if size > length and (known := self.get(word)) is not None:
+            self.copies.append((n, known, size))
+        else:
+            shown = traits(word)
+            if (kind := self.kinds.get(shown)) is None:
+                kind = self.kinds[shown] = len(self.kinds)
+                self.new_kinds.append(shown)
+            low = word.lower() if length < 16 else shown[0]
+            at, kinds, beside, flags = self.new
+            at.append(n)
+            kinds.append(kind)
+            beside.append(around(low))
+            flags.append((low in KEYS, length < size, size, length))
         self.n += 1
-        if len(piece) <= 4 * HEAD:
+        if size <= LONGEST:
             self[piece] = n
         return n
 
+    def rows(self, text: str):
+        """Rows of scores and flags of a text's tokens, some at a time."""
+        at, text = 0, text.rstrip()
+        while at < len(text):
+            end = len(text)
+            if end - at > STEP:  # a token does not go on beyond white space
+                m = re.compile(r"\s").search(text, at + STEP)
+                end = m.start() if m else end
+            if self.n > REMEMBERED:
+                self.forget()
+            found = np.array(list(map(self.__getitem__, PIECE.findall(text, at, end))), np.int64)
+            self.settle()
+            yield self.score[found], self.flags[found]
+            at = end
+
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of each token's tags, and the tokens' starts and ends."""
-        if self.n > REMEMBERED:
-            self.forget()
-        at = np.array(list(map(self.__getitem__, pieces(text))), np.int64)
-        score = self.score
-        e = score[0][at] + self.dense[density(text, candidates(text))]
-        for k in (1, 2, 3):
-            e[k:] += score[k][at[:-k]]
-        e[:-1] += score[4][at[1:]]
-        keyed, spaced, size, length = (f[at] for f in self.flags)
+        dense = self.dense[density(text, candidates(text))]
+        emits, flags = [], []
+        before, last = np.zeros((3, 12)), None  # what the words before give, and the row to which the next one adds
+        for score, flag in self.rows(text):
+            e = score[:, :3] + dense
+            held = np.concatenate([before, score[:, 3:]])
+            for k in (1, 2, 3):
+                e += held[3 - k : len(held) - k, 3 * k - 3 : 3 * k]
+            e[:-1] += score[1:, 12:]
+            if last is not None:
+                last += score[0, 12:]
+            before, last = held[-3:], e[-1]
+            emits.append(e)
+            flags.append(flag)
+        e, flags = (emits[0], flags[0]) if len(emits) == 1 else (np.concatenate(emits), np.concatenate(flags))
+        keyed, spaced, size, length = flags.T
         e += self.space[2 * spaced + np.append(spaced[1:], int(text[-1:].isspace()))]
-        near = np.zeros(len(at), np.int64)
+        near = np.zeros(len(e), np.int32)
         for k in (1, 2, 3):
             near[k:] |= keyed[:-k]
         e += self.keyed[near]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         return e, ends - length, ends
 
 
-def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float] | None = None, rounds: int = 60, l2: float = 1e-3, rate: float = 0.3) -> Field:
+def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float] | None = None, rounds: int = 60, l2: float = 3e-5, rate: float = 0.7) -> Field:
     """Maximum conditional likelihood by full-batch Adagrad; runs of equal length are computed together; each weighs the same or as weights say."""
     emit, move = np.zeros((3, DIMS)), np.zeros((3, 3))
     move[OUTSIDE, INSIDE] = -1e3  # inside follows begin or inside only
@@ -353,11 +445,13 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float
         groups.append((x, np.array([sample[i][1] for i in members]), own[members]))
     ge, gm = np.full((3, DIMS), 1e-8), np.full((3, 3), 1e-8)
     for _ in range(rounds):
-        padded = np.concatenate([emit, np.zeros((3, 1))], 1)
+        padded = np.concatenate([emit, np.zeros((3, 1))], 1).T.copy()
         de, dm = np.zeros((3, DIMS + 1)), np.zeros((3, 3))
         for x, y, w in groups:
             m, n, _ = x.shape
-            e = padded[:, x].sum(3).transpose(1, 2, 0)
+            e = np.zeros((m, n, 3))
+            for c in range(x.shape[2]):
+                e += padded[x[:, :, c]]
             alpha, beta = np.empty((m, n, 3)), np.empty((m, n, 3))
             alpha[:, 0] = e[:, 0] + move[OUTSIDE]
             for t in range(1, n):
@@ -368,8 +462,10 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float
             z = np.logaddexp.reduce(alpha[:, -1] + beta[:, -1], axis=1)
             p = np.exp(alpha + beta - z[:, None, None])
             diff = (np.eye(3)[y] - p) * w[:, None, None]
-            for tag in range(3):
-                de[tag] += np.bincount(x.reshape(m * n, -1).ravel(), np.repeat(diff[:, :, tag].ravel(), x.shape[2]), DIMS + 1)
+            live = np.abs(diff).max(2) > 1e-10  # most tokens of plain prose soon teach nothing
+            rows, slope = x[live].ravel(), diff[live]
+            for tag in (BEGIN, INSIDE):
+                de[tag] += np.bincount(rows, np.repeat(slope[:, tag], x.shape[2]), DIMS + 1)
             first = np.eye(3)[y[:, 0]] - p[:, 0]
             dm[OUTSIDE] += w @ first
             dm[:, OUTSIDE] += w @ (np.eye(3)[y[:, -1]] - p[:, -1])
@@ -387,14 +483,112 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float
     return Field(emit, move)
 
 
+def _word(rng: random.Random, letters: str, least: int, most: int) -> str:
+    return "".join(rng.choices(letters, k=rng.randint(least, most)))
+
+
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def secret(rng: random.Random) -> tuple[str, int, int]:
+    """A text with a made secret, and where the secret is in it."""
+    mixed = _LOWER + _UPPER
+    kind, cued = rng.randrange(9), rng.random() < 0.6
+    if kind == 0:
+        value = _word(rng, mixed, 10, 40)
+    elif kind == 1:
+        value = _word(rng, mixed + _DIGITS, 10, 48)
+    elif kind == 2:
+        value = _word(rng, mixed + _DIGITS + "+/", 20, 64)
+    elif kind == 3:
+        value = _word(rng, mixed + _DIGITS + "-_", 16, 48)
+    elif kind == 4:
+        value = _word(rng, _UPPER + _DIGITS, 16, 40)
+    elif kind == 5:
+        value = rng.choice(PREFIXES) + _word(rng, mixed + _DIGITS, 16, 40)
+    elif kind == 6:
+        value, cued = _word(rng, _LOWER + _DIGITS, 10, 32), True
+    elif kind == 7:
+        value, cued = _word(rng, mixed + _DIGITS, 4, 8) + rng.choice("!@#$%&*?") + _word(rng, mixed + _DIGITS, 2, 6), True
+    else:
+        value, cued = rng.choice("- ").join(_word(rng, _UPPER + _DIGITS, n, n) for n in [rng.randint(4, 5)] * rng.randint(3, 6)), True
+    head = ""
+    if cued:
+        cue, link = rng.choice(CUES), rng.choice(LINKS)
+        cue = rng.choice((cue, cue, cue.upper(), cue.capitalize(), f"{rng.choice(('db', 'my', 'app', 'user'))}_{cue}"))
+        head = f" {cue}{rng.choice(('', ' ')) if not link[:1].isalpha() and link else ' '}{link}{' ' if link[:1].isalpha() or rng.random() < 0.7 else ''}"
+        head = head if head[-1:].isspace() or link and not link[:1].isalpha() else head + " "
+    quote = rng.choice(("", "", "'", '"', "`"))
+    head = (head or " ") + quote
+    return head + value + quote, len(head), len(head) + len(value)
+
+
+def decoy(rng: random.Random) -> str:
+    """A text that looks like a secret and is none."""
+    word = lambda: _word(rng, "aeiourstnl" + _LOWER, 3, 9)
+    number = lambda n: _word(rng, _DIGITS, 1, n)
+    return " " + (
+        lambda: f"{word()}.{word()}{number(3)}@{word()}.{rng.choice(('com', 'org', 'example.net'))}",
+        lambda: ".".join(number(3) for _ in range(4)),
+        lambda: f"+{number(2)} ({number(3)}) {number(4)}-{number(4)}",
+        lambda: f"{rng.randint(1900, 2100)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}:{rng.randint(0, 59):02}",
+        lambda: _word(rng, _DIGITS, 4, 15),
+        lambda: "".join(word().capitalize() for _ in range(rng.randint(1, 4))),
+        lambda: word() + "".join(word().capitalize() for _ in range(rng.randint(1, 3))),
+        lambda: rng.choice("_-/").join(word() for _ in range(rng.randint(2, 6))),
+        lambda: rng.choice("_- ").join(word().upper() for _ in range(rng.randint(1, 4))),
+        lambda: f"{word()}_{number(3)}.{rng.choice(('py', 'txt', 'json', 'png'))}",
+        lambda: f"https://www.{word()}.com/{word()}/{word()}-{number(6)}?{word()}={number(3)}",
+        lambda: f"v{number(2)}.{number(2)}.{number(2)}-{rng.choice(('beta', 'rc'))}{number(1)}",
+        lambda: f"{rng.choice(CUES)} {rng.choice(('', 'of ', 'and ', 'for '))}{word()}",
+        lambda: f"{rng.choice(CUES)}: {word()} {word()}",
+        lambda: word() + word() + word(),
+    )[rng.randrange(15)]()
+
+
+def planted(near: list[str], first: int, n: int, key: int) -> tuple[list[str], list[int], bool]:
+    """Pieces of a window of n tokens from first on with a made secret or decoy put in, its tags, and whether it is a secret."""
+    rng = random.Random(key)
+    at, real = first + rng.randint(0, n), rng.random() < 0.5
+    made, i, j = secret(rng) if real else (decoy(rng), 0, 0)
+    parts = pieces(made)
+    tags, end = [], 0
+    for p in parts:
+        start, end = end + len(p) - len(p.lstrip()), end + len(p)
+        tags.append(OUTSIDE if end <= i or start >= j else INSIDE if any(tags) else BEGIN)
+    return near[:at] + parts + near[at:], [OUTSIDE] * (at - first) + tags + [OUTSIDE] * (first + n - at), real
+
+
+def hidden(near: list[str], key: int) -> list[str]:
+    """Pieces of a window without what the base patterns look for."""
+    rng = random.Random(key)
+    other = lambda p: p[: len(p) - len(p.lstrip())] + _word(rng, _LOWER, 3, 8)
+    return [other(p) if p.lstrip().lower() in KEYS else p.replace("AKIA", _word(rng, _UPPER, 4, 4)) for p in near]
+
+
 def _ranked(text: str | None, h: int):
-    """Rank, whether it holds a secret, tags, first own token and pieces, with those around, of each window."""
+    """Rank, whether it holds a secret, tags, first own token, pieces with those around, and a number of its own, of each window."""
     parts, tags, at = cuts(text or "")
     for i, j in zip(at, [*at[1:], len(parts)]):
-        near = [" " * (p[:1].isspace()) + p.lstrip()[:HEAD] for p in parts[max(0, i - 3) : j + 1]]
-        key = hashlib.blake2b(f"{h} {i} {near}".encode("utf-8", "replace"), digest_size=7).digest()
+        near = [" " * (p[:1].isspace()) + p.lstrip() for p in parts[max(0, i - 3) : j + 1]]
+        digest = hashlib.blake2b(f"{h} {i} {near}".encode("utf-8", "replace"), digest_size=15).digest()
         held = bool(tags[i:j].any())
-        yield int.from_bytes(key, "little") / 2**56 / (RICH if held else 1), held, tags[i:j].tolist(), min(i, 3), near
+        yield int.from_bytes(digest[:7], "little") / 2**56 / (RICH if held else 1), held, tags[i:j].tolist(), min(i, 3), near, int.from_bytes(digest[7:], "little")
+
+
+#: What a window of the sample is: as it stands without or with a base secret, with a planted secret, with a decoy.
+AS_IS, HELD, SECRET, DECOY = 0, 1, 2, 3
+
+
+def examples(held: bool, tags: list[int], first: int, near: list[str], key: int) -> list[tuple[int, list[str], list[int]]]:
+    """What a window gives to the sample: kind, pieces and tags."""
+    out = [(HELD if held else AS_IS, near, tags)]
+    if held:
+        out.append((SECRET, hidden(near, key), tags))
+    elif key % PLANT == 0:
+        with_, own, real = planted(near, first, len(tags), key)
+        out.append((SECRET if real else DECOY, with_, own))
+    return out
 
 
 def _ranks(batches):
@@ -405,37 +599,49 @@ def _ranks(batches):
 
 def _sampled(most: float):
     def run(batches):
-        types = (pa.float64(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string()), pa.int32())
+        types = (pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
         for b in batches:
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [r for r in _ranked(text, h) if r[0] <= most]
+                rows, d = [], density(text, candidates(text))
+                for rank, held, tags, first, near, key in _ranked(text, h):
+                    if rank <= most:
+                        for kind, parts, own in examples(held, tags, first, near, key):
+                            x = features([Word(p) for p in parts], first, first + len(own), d)
+                            rows.append((rank, key - (1 << 63), kind, own, x.tobytes()))
                 if rows:
-                    d = density(text, candidates(text))
-                    cols = [*zip(*rows), [d] * len(rows)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["rank", "held", "tags", "first", "near", "density"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["rank", "key", "kind", "tags", "features"])
 
     return run
 
 
-def trained(docs: DataFrame) -> Field:
-    """A field fitted to docs (doc_id, text): at most SAMPLE_DOCS texts that hold a digit, by hash of doc_id."""
-    hashed = docs.where("text RLIKE '[0-9]{4}'").select(F.xxhash64("doc_id").alias("h"), "text")
-    most = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes alone are sorted
-    picked = hashed.where(F.col("h") <= F.lit(most))
+def sampled(docs: DataFrame) -> tuple[list, np.ndarray]:
+    """Features and tags of the windows that the field is fitted to, and their weights."""
+    hashed = docs.where("text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text", F.expr("text RLIKE '[0-9]{4}'").alias("rich"))
+    most = {}
+    for rich, n in ((True, SAMPLE_DOCS), (False, PLAIN_DOCS)):  # hashes alone are sorted
+        most[rich] = hashed.where(F.col("rich") == rich).select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    picked = hashed.where(F.col("h") <= F.when(F.col("rich"), F.lit(most[True])).otherwise(F.lit(most[False]))).select("h", "text")
     ranks = picked.mapInArrow(frugal(_ranks), "rank double").orderBy("rank").limit(SAMPLE_WINDOWS)  # ranks alone are sorted
     least = ranks.agg(F.max("rank")).first()[0]
-    found = picked.mapInArrow(frugal(_sampled(1.0 if least is None else least)), "rank double, held boolean, tags array<int>, first int, near array<string>, density int")
-    rows = found.orderBy("rank", "near", "first", "density").limit(SAMPLE_WINDOWS).collect()
-    share = rows[-1]["rank"] if len(rows) == SAMPLE_WINDOWS else 1.0  # of windows chosen
-    known: dict[str, Word] = {}
+    found = picked.mapInArrow(frugal(_sampled(1.0 if least is None else least)), "rank double, key long, kind int, tags array<int>, features binary")
+    rows = found.orderBy("rank", "key", "kind", "features").limit(3 * SAMPLE_WINDOWS).collect()
+    share = rows[-1]["rank"] if sum(r["kind"] < SECRET for r in rows) >= SAMPLE_WINDOWS else 1.0  # of windows chosen
     sample = []
     for r in rows:
-        words = [known.get(p) or known.setdefault(p, Word(p)) for p in r["near"]]
-        sample.append((features(words, r["first"], r["first"] + len(r["tags"]), r["density"]), list(r["tags"])))
-    weights = np.array([1 / max(1e-9, min(1.0, share * (RICH if r["held"] else 1))) for r in rows])
-    # in units of the windows with likely tokens or secrets, so that l2 does not outweigh the few secrets of plain prose
-    telling = np.array([r["held"] or any(candidates(p) for p in r["near"]) for r in rows], bool)
-    return fitted(sample, weights / max(1.0, weights[telling].sum()))
+        x = np.frombuffer(r["features"], np.int16).reshape(len(r["tags"]), WIDTH)
+        sample.append(([f[f < DIMS] for f in x], list(r["tags"])))
+    kind = np.array([r["kind"] for r in rows], int)
+    weights = np.array([1.0 if k >= SECRET else 1 / max(1e-9, min(1.0, share * (RICH if k == HELD else 1))) for k in kind])
+    for some, worth in ((kind < SECRET, REAL), (kind == SECRET, PLANTED), (kind == DECOY, DECOYS)):
+        weights[some] *= worth / max(1e-9, weights[some].sum())
+    return sample, weights
+
+
+def trained(docs: DataFrame) -> Field:
+    """A field fitted to docs (doc_id, text); see the module's text."""
+    field = fitted(*sampled(docs))
+    field.emit[BEGIN, _ids(["bias"])] -= MARGIN
+    return field
 
 
 def added_spans(text: str, scores: Scores, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

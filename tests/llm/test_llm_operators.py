@@ -521,6 +521,75 @@ def test_sample_of_windows(spark, monkeypatch):
     assert np.array_equal(one.emit, two.emit) and np.array_equal(one.move, two.move) and one.emit.any()
 
 
+def test_field_adds_spans(spark):
+    """Secrets that no base pattern matches are found in held-out prose, most of them whole, and clean texts stay clean; the layout of files does not matter."""
+    import string
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    field = secrets.trained(docs.where("doc_id % 2 = 0"))
+    scores = secrets.Scores(field)
+    clean = [r["text"] for r in docs.where("doc_id % 2 = 1 AND text IS NOT NULL").orderBy("doc_id").collect()]
+    assert sum(len(secrets.added_spans(t, scores, secrets.base_spans(t))) for t in clean) <= 1
+    rng = random.Random(11)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    both, any_ = string.ascii_letters, string.ascii_letters + string.digits
+    made = {
+        "letters after a cue": lambda: ("the passphrase is ", word(both, 16)),
+        "letters alone": lambda: ("", word(both, 24)),
+        "letters and digits": lambda: ("", word(any_, 28)),
+        "base64": lambda: ("", word(any_ + "+/", 44)),
+        "capitals": lambda: ("", word(string.ascii_uppercase + string.digits, 26)),
+        "a short one": lambda: ("pwd: ", word(any_, 11)),
+    }
+    prose = [t.split() for t in clean if len(t.split()) > 40]
+    found, extra = {}, 0
+    for name, make in made.items():
+        hits = 0
+        for _ in range(60):
+            w = rng.choice(prose)
+            at = rng.randrange(len(w))
+            head, value = make()
+            before = " ".join([*w[max(0, at - 20) : at], head])
+            text = f"{before}{value} {' '.join(w[at : at + 20])}"
+            base = secrets.base_spans(text)
+            spans = secrets.added_spans(text, scores, base)
+            hits += any(i <= len(before) and j >= len(before) + len(value) for i, _, j in spans) or any(i < len(before) + len(value) and len(before) < j for i, _, j in base)
+            extra += sum(j <= len(before) or i >= len(before) + len(value) for i, _, j in spans)
+        found[name] = hits / 60
+    assert min(found.values()) >= 0.55 and sum(found.values()) / len(found) >= 0.8, found
+    assert extra <= 3
+    one = {r["doc_id"]: r["spans"] for r in secrets.scanned(docs.repartition(1), field).collect()}
+    assert {r["doc_id"]: r["spans"] for r in secrets.scanned(docs.repartition(9, "text"), field).collect()} == one
+
+
+def test_long_texts_in_steps(monkeypatch):
+    """A text looked at in steps has the scores of the text as a whole, and words count beyond any length."""
+    rng = np.random.default_rng(12)
+    emit = rng.normal(size=(3, secrets.DIMS))
+    field = secrets.Field(emit, rng.normal(size=(3, 3)))
+    words = ["Ab9" * 40 + "x", "token", "=", "zz top", "a" * 300, "A" * 300 + "9", "\u00e9t\u00e9", "1.2.3"]
+    text = "  ".join(words[i] for i in rng.integers(0, len(words), 400)) + " \n"
+    whole = secrets.Scores(field).of(text)
+    monkeypatch.setattr(secrets, "STEP", 50)
+    monkeypatch.setattr(secrets, "REMEMBERED", 5)
+    for a, b in zip(whole, secrets.Scores(field).of(text)):
+        assert np.allclose(a, b, rtol=0, atol=1e-9)
+    assert np.allclose(whole[0], [emit[:, f].sum(1) for run, _ in secrets.windows(text) for f in run])
+    assert secrets.traits("a" * 70 + "9") != secrets.traits("a" * 71) and secrets.traits("ab" * 40) != secrets.traits("ab" * 400)
+
+
+def test_examples():
+    """Made secrets lie where they are said to, decoys are outside, hidden windows keep their tags and lose their cues."""
+    near = secrets.pieces('my token = "AKIAabcdefgh1234" here now')
+    for key in range(400):
+        parts, tags, real = secrets.planted(near, 2, 5, key)
+        assert len(tags) == len(parts) - (len(near) - 5) and (secrets.BEGIN in tags) == real and tags.count(secrets.BEGIN) == int(real)
+    out = secrets.hidden(near, 1)
+    assert len(out) == len(near) and "token" not in "".join(out) and "AKIA" not in "".join(out)
+    kinds = [k for key in range(60) for k, *_ in secrets.examples(False, [0] * 5, 2, near, key)]
+    assert {secrets.AS_IS, secrets.SECRET, secrets.DECOY} == set(kinds) and kinds.count(secrets.AS_IS) == 60
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------
 
 
