@@ -6,13 +6,13 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D of the UTF-8 text, A-
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.sources.scratch import scratch_path
+
 #: Bytes of one hashing step; longer words are hashed one by one.
 CHUNK = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
@@ -132,19 +132,6 @@ def frugal(run):
     return wrapped
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="gridquarry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: its lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession

@@ -4,19 +4,23 @@ Items are short, documents long, so a whole document's MinHash says nothing abou
 their number of k-word shingles (powers of two). For the partition of size g, a document is cut into windows of 2g
 shingles that start every g: an occurrence of an item then fills at least about a third of some window, whose Jaccard
 similarity with the item is bounded from below. A window and an item are candidates when any of 96 minima agree, so an
-item with 80 % of its shingles in a document is missed with a probability under 1e-8. All windows of a
+item of 17 shingles or more with 80 % of them in a document in one piece is missed with a probability under 1e-8. All windows of a
 document come from one pass: minima of blocks of g shingles, of which windows and larger partitions take minima.
+Smaller items are found exactly: a document with c of an item's n shingles has one of any n - c + 1 of them, which are
+looked up among all shingles of the document.
 
 Candidates are verified exactly: distinct item shingles found in the set of the whole document, as words, against
 `percent` of the item's. Items are a query set: they are sent to the tasks in blocks of at most BLOCK items, one pass
 over the documents for each block, so what a task holds has a fixed bound however large the benchmark is.
 
-Null, empty and blank texts have no shingles and are in no pair; fewer than k words are one shingle. Equal items each
+Null, empty and blank texts have no shingles and are in no pair; fewer than k words are one shingle, which only a text of the same words holds. Equal items each
 give their own rows, repeated documents too; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from gridquarry.llm.common import frugal, seeds, shingle_hashes, word_hashes
 
 HASHES = 96
+#: Items of at most so many shingles are looked up by shingles, not by minima.
+SMALL = 16
 #: Items sent to a task at a time, and most bytes of their texts.
 BLOCK, BLOCK_BYTES = 50_000, 64 << 20
 _MULT = (seeds(HASHES, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -48,22 +54,32 @@ class Index:
         self.sets = [shingles_of(t, k) for _, t in self.items]
         self.ids = [i for i, _ in self.items]
         parts: dict[int, list[int]] = {}
+        probes: list[tuple[np.ndarray, int]] = []
         for n, s in enumerate(self.sets):
-            parts.setdefault(max(3, int(len(s) - 1).bit_length()), []).append(n)
+            if len(s) <= SMALL:  # of any so many shingles one is in every document with enough of them
+                own = np.unique(hashes_of(self.items[n][1], k))
+                probes.append((own[: max(1, len(s) - -(-percent * len(s) // 100) + 1)], n))
+            else:
+                parts.setdefault(int(len(s) - 1).bit_length(), []).append(n)
+        keys = np.concatenate([h for h, _ in probes]).astype(np.uint64) if probes else np.empty(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.small = keys[order], np.repeat([n for _, n in probes], [len(h) for h, _ in probes]).astype(int)[order] if probes else np.empty(0, int)
+        self.slots = _filter(keys)
         self.parts = []
         for bits, members in sorted(parts.items()):
             sig = np.stack([block_minima(hashes_of(self.items[n][1], k), 1 << 40)[:, 0] for n in members], axis=1)
             # all minima, tagged by their hash and sorted, and a filter by which most windows are told apart at once
             keys = _tagged(sig).ravel()
             order = np.argsort(keys, kind="stable")
-            shift = 64 - min(26, max(12, int(16 * len(keys)).bit_length()))
-            seen = np.zeros(1 << (64 - shift), bool)
-            seen[_slot(keys, shift)] = True
-            self.parts.append((bits, keys[order], np.tile(np.array(members), HASHES)[order], seen, shift))
+            self.parts.append((bits, keys[order], np.tile(np.array(members), HASHES)[order], *_filter(keys)))
 
     def candidates(self, hashes: np.ndarray) -> set[int]:
-        """Items of which some minimum agrees with that of a window."""
+        """Items of which some minimum agrees with that of a window, and small ones of which a probe is there."""
         out: set[int] = set()
+        if len(self.small[0]):
+            seen, shift = self.slots
+            tags = hashes.astype(np.uint64)
+            out.update(_matches(*self.small, np.unique(tags[seen[_slot(tags, shift)]])))
         level, blocks = None, None
         for bits, keys, members, seen, shift in self.parts:
             if level is None:
@@ -76,16 +92,13 @@ class Index:
             level = bits
             wide = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
             tags = _tagged(wide)
-            tags = np.unique(tags[seen[_slot(tags, shift)]])
-            lo, hi = np.searchsorted(keys, tags, "left"), np.searchsorted(keys, tags, "right")
-            for a, b in zip(lo[hi > lo], hi[hi > lo]):
-                out.update(members[a:b].tolist())
+            out.update(_matches(keys, members, np.unique(tags[seen[_slot(tags, shift)]])))
         return out
 
     def found(self, text: bytes) -> list[tuple[int, int, int]]:
         """(item_id, shingles found, shingles of the item) of the items contained in the text."""
         hashes = hashes_of(text, self.k)
-        if not len(hashes) or not self.parts:
+        if not len(hashes) or not self.items:
             return []
         hits = self.candidates(hashes)
         if not hits:
@@ -114,6 +127,31 @@ def _slot(tags: np.ndarray, shift: int) -> np.ndarray:
     return (tags * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)
 
 
+def _filter(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """A table of the slots that keys take, and the shift that gives a slot."""
+    shift = 64 - min(26, max(12, int(16 * len(keys)).bit_length()))
+    seen = np.zeros(1 << (64 - shift), bool)
+    seen[_slot(keys, shift)] = True
+    return seen, shift
+
+
+def _matches(keys: np.ndarray, members: np.ndarray, tags: np.ndarray) -> list[int]:
+    """The members of the sorted keys that are among the tags."""
+    lo, hi = np.searchsorted(keys, tags, "left"), np.searchsorted(keys, tags, "right")
+    return [n for a, b in zip(lo[hi > lo], hi[hi > lo]) for n in members[a:b].tolist()]
+
+
+#: The index that a worker holds, under the name of its block: tasks that follow do not build it anew.
+_HELD: dict[str, Index] = {}
+
+
+def _index(name: str, block: list[tuple[int, bytes]], k: int, percent: int) -> Index:
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Index(block, k, percent)
+    return _HELD[name]
+
+
 def block_minima(hashes: np.ndarray, size: int) -> np.ndarray:
     """HASHES x blocks: the minima of each run of `size` hashes, the last run being shorter."""
     n = len(hashes)
@@ -138,7 +176,7 @@ def block_minima(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def _search(shared):
     def run(batches):
-        index = Index(*shared.value)
+        index = _index(*shared.value)
         for b in batches:
             rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for hit in index.found(t)]
             cols = list(zip(*rows)) or [(), (), (), ()]
@@ -167,7 +205,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80)
     schema = "doc_id long, item_id long, n_found long, n_shingles long"
     out = None
     for block in _blocks(items.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))):
-        shared = spark.sparkContext.broadcast((block, k, percent))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block, k, percent))
         part = own.mapInArrow(frugal(_search(shared)), schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out

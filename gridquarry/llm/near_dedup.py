@@ -228,9 +228,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = cluster.union(cluster.select(F.col("root").alias("v"), "root").distinct())
     sized = members.join(own.select(F.col("doc_id").alias("v"), "n_shingles").dropDuplicates(["v"]), "v")
     blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / CLUSTER_BLOCK).alias("blocks"))
-    texts = docs.select(F.col("doc_id").alias("v"), F.col("text").cast("binary").alias("text")).join(
-        members.join(blocks, "root"), "v"
-    ).dropDuplicates(["v"])
+    listed = written(members.join(blocks, "root"), "dedup-members")  # its size is known, so that a short one is broadcast and the texts stay where they are
+    texts = docs.select(F.col("doc_id").alias("v"), F.col("text").cast("binary").alias("text")).join(listed, "v").dropDuplicates(["v"])
     links = (
         _dealt(texts, "blocks", "root", "v")
         .select("root", "lo", "hi", "v", "text")
@@ -239,14 +238,15 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .mapInArrow(frugal(_confirmed(k, percent)), "u long, v long")
     )
     linked = components(links, "dedup-links")
-    dropped(met)
-    dropped(cluster)
     named = classes.join(linked.select(F.col("v").alias("rep"), "root"), "rep", "left").select(
         "fp", F.coalesce("root", "rep").alias("component_id")
     )
     out = own.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = written(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "dedup-groups")
+    for done in (own, classes, met, cluster, listed, linked):
+        dropped(done)
+    return out
 
 
 #: groups(k=4) in DuckDB, by brute force.

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridquarry.llm import byte_bpe, decontam, html_extract, near_dedup, quality, secrets, token_counts, token_files, toxicity, url_filters
-from gridquarry.llm.common import scratch_path
+from gridquarry.sources.scratch import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -18,26 +18,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a capture at a minute given by its id, against a list dated by host: spam hosts come on the list, go and come back; some others are listed for two weeks, or by a path."""
+    """Every page as a capture at a minute given by its id, against a list dated by host: spam hosts come on the list, go and come back; some others are listed for two weeks, or by a path, some of two steps; some hosts are listed in capitals."""
     pages = _table(spark, sf_dir, "pages").select(
         "page_id", "url", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(86400 * 120))).alias("fetched")
     )
-    hosts = pages.groupBy(url_filters.host_of(F.col("url")).alias("h")).agg(F.min("page_id").alias("f"), F.count("*").alias("n")).where("h <> ''")
+    path = F.filter(F.split(F.regexp_extract("url", url_filters.PATH, 1), "/"), lambda s: s != "")
+    steps = pages.select(url_filters.host_of(F.col("url")).alias("h"), F.when(F.size(path) > 1, F.array_join(F.slice(path, 1, 2), "/")).alias("deep"), "page_id").where("h <> ''")
+    hosts = steps.groupBy("h").agg(F.min("page_id").alias("f"))
     day = lambda x: F.timestamp_seconds(F.lit(1704067200) + x * 86400)
-    spam = hosts.where("h LIKE '%spam%' OR h LIKE '%pills%'")
-    some = hosts.where("NOT (h LIKE '%spam%' OR h LIKE '%pills%')").where("length(h) % 5 = 0")
-    entries = None
-    for part, key, action, since in (
-        (spam, F.col("h"), "block", day(F.pmod("f", F.lit(20)))),
-        (spam, F.col("h"), "allow", day(30 + F.pmod("f", F.lit(10)))),
-        (spam, F.col("h"), "block", day(F.lit(60))),
-        (some, F.col("h"), "block", day(F.pmod("f", F.lit(90)))),
-        (some, F.col("h"), "allow", day(F.pmod("f", F.lit(90)) + 14)),
-        (some, F.concat("h", F.lit("/en")), "block", day(F.pmod("f", F.lit(50)))),
-        (some, F.concat("h", F.lit("/fr")), "allow", day(F.lit(0))),
-    ):
-        rows = part.select(key.alias("key"), F.lit(action).alias("action"), since.alias("since"))
-        entries = rows if entries is None else entries.union(rows)
+    entry = lambda key, action, since: F.struct(key.alias("key"), F.lit(action).alias("action"), since.alias("since"))
+    h, by = F.col("h"), lambda n: F.pmod("f", F.lit(n))
+    spam = F.array(entry(h, "block", day(by(20))), entry(h, "allow", day(30 + by(10))), entry(h, "block", day(F.lit(60))))
+    some = F.array(
+        entry(h, "block", day(by(90))),
+        entry(h, "allow", day(by(90) + 14)),
+        entry(F.concat(F.upper(h), F.lit("/en")), "block", day(by(50))),
+        entry(F.concat(h, F.lit("/fr")), "allow", day(F.lit(0))),
+    )
+    entries = hosts.select(F.inline(F.when(F.expr("h LIKE '%spam%' OR h LIKE '%pills%'"), spam).when(F.length("h") % 5 == 0, some)))
+    deep = steps.where("deep IS NOT NULL AND length(h) % 3 = 0").groupBy("h", "deep").agg(F.min("page_id").alias("f"))
+    entries = entries.union(deep.select(F.concat(F.initcap(h), F.lit("/"), "deep"), F.lit("block"), day(by(70))))
     return url_filters.filtered(pages, entries).select("page_id", "host", "matched_key", "action", F.unix_seconds("since").alias("since_s"), "allowed")
 
 
@@ -53,11 +53,12 @@ e0 AS (SELECT h AS key, 'block' AS action, 1704067200 + (f % 20) * 86400 AS sinc
   UNION ALL SELECT h, 'block', 1704067200 + (f % 90) * 86400 FROM s
   UNION ALL SELECT h, 'allow', 1704067200 + (f % 90 + 14) * 86400 FROM s
   UNION ALL SELECT h || '/en', 'block', 1704067200 + (f % 50) * 86400 FROM s
-  UNION ALL SELECT h || '/fr', 'allow', 1704067200 FROM s),
+  UNION ALL SELECT h || '/fr', 'allow', 1704067200 FROM s
+  UNION ALL SELECT host || '/' || seg[2] || '/' || seg[3], 'block', 1704067200 + (min(page_id) % 70) * 86400 FROM p WHERE host <> '' AND len(seg) > 2 AND length(host) % 3 = 0 GROUP BY host, seg[2], seg[3]),
 e AS (SELECT key, since, max(action) AS action FROM e0 GROUP BY key, since),
 i AS (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM e),
 m AS (SELECT page_id, key, action, since, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC, action DESC, key DESC, since DESC) AS n
-      FROM p JOIN i ON (host = key OR host LIKE '%.' || key OR key = host || '/' || seg[2])
+      FROM p JOIN i ON (host = key OR host LIKE '%.' || key OR key = host || '/' || seg[2] OR key = host || '/' || seg[2] || '/' || seg[3])
       AND ts >= since AND (until IS NULL OR ts < until))
 SELECT p.page_id, host, key AS matched_key, action, since AS since_s, coalesce(action, 'allow') <> 'block' AS allowed
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.n = 1

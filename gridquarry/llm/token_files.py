@@ -26,6 +26,8 @@ from gridquarry.llm.pretokens import Splitter, is_latin
 ROW_GROUP, PAGE = 32 << 20, 64 << 10
 #: Bytes of ids after which a batch ends, and words whose ids a worker keeps.
 BYTES, KNOWN = 4 << 20, 400_000
+#: Bytes of the input, as Spark knows it, for each file, beyond one for each shuffle partition.
+FILE_BYTES = 1 << 29
 SCHEMA = "doc_id long, file int, local_start long, n_tokens long, ids array<int>"
 _LOADED: dict = {}
 
@@ -133,7 +135,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, encodin
     """Writes the ids of docs (doc_id, text) to the folder path; tokenizer_path must exist on every executor."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"no such encoding: {encoding}")
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = size // FILE_BYTES if size < 1 << 56 else 0  # beyond that Spark does not know the size
+    n = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = dealt.mapInArrow(_encode(tokenizer_path, end), SCHEMA)
     (

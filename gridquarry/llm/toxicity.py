@@ -8,7 +8,7 @@ sum_j P(grade > j), the most likely grade, and whether grade 1 or more is likeli
 Training runs on the driver over a bounded sample of labelled texts (SAMPLE a grade at most, by hash of doc_id), on features that occur in LEAST of its
 distinct texts and whose chi-square with toxicity is CHI2 or more; scoring covers every whole text. Null and empty texts have no words and get the severity of
 no evidence. Unlabelled or null-labelled rows are not trained on; with fewer than two grades the model scores 0
-everywhere. Repeated texts count once in training; repeated rows are scored alike. Extra columns are ignored.
+everywhere. Grades may be any numbers from 0 on, but few, as each is a threshold. Repeated texts count once in training; repeated rows are scored alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,6 +74,22 @@ def _chi2(hits: np.ndarray, counts: np.ndarray, positive: int, total: int) -> np
     return total * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
 
 
+def slopes(w: np.ndarray, gap: np.ndarray, cols: np.ndarray, owner: np.ndarray, y: np.ndarray, share: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the penalised log-likelihood by the weights and by the gaps between cuts (the first cut as it is, then logarithms of gaps); text owner[i] has feature cols[i], grade y and weight share."""
+    n, top = len(y), len(gap)
+    cuts = np.cumsum(np.r_[gap[:1], np.exp(gap[1:])])
+    s = np.bincount(owner, w[cols], n)
+    edge = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(s[:, None] - cuts[None, :], -60, 60))), np.zeros(n)]
+    at, slope = np.arange(n), edge * (1 - edge)
+    p = np.maximum(edge[at, y] - edge[at, y + 1], 1e-12)
+    ds = share * (slope[at, y] - slope[at, y + 1]) / p
+    dc = np.zeros(top)
+    np.add.at(dc, y[y > 0] - 1, -(share * slope[at, y] / p)[y > 0])
+    np.add.at(dc, y[y < top], (share * slope[at, y + 1] / p)[y < top])
+    dg = np.cumsum(dc[::-1])[::-1] * np.r_[1.0, np.exp(gap[1:])]
+    return np.bincount(cols, ds[owner], len(w)) - l2 * w, dg
+
+
 def fitted(sample: list[tuple[np.ndarray, int]], rounds: int = 300, l2: float = 2e-4, rate: float = 0.2) -> Ordinal:
     """Penalised maximum likelihood by full-batch Adagrad; a grade weighs as the square root of its texts."""
     once: dict[tuple[bytes, int], tuple[np.ndarray, int]] = {(w.tobytes(), g): (w, g) for w, g in sample}
@@ -99,19 +115,8 @@ def fitted(sample: list[tuple[np.ndarray, int]], rounds: int = 300, l2: float =
     share /= share.sum()
     w, gap = np.zeros(len(vocab)), np.full(top, 1.0)  # cuts are cumulative sums: the first free, then positive gaps
     gw, gg = np.full(len(vocab), 1e-8), np.full(top, 1e-8)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for _ in range(rounds):
-        cuts = np.cumsum(np.r_[gap[:1], np.exp(gap[1:])])
-        s = np.bincount(owner, w[cols], len(y))
-        edge = np.c_[np.ones(len(y)), sig(s[:, None] - cuts[None, :]), np.zeros(len(y))]
-        p = np.maximum(edge[np.arange(len(y)), y] - edge[np.arange(len(y)), y + 1], 1e-12)
-        slope = edge * (1 - edge)
-        ds = share * (slope[np.arange(len(y)), y] - slope[np.arange(len(y)), y + 1]) / p
-        dc = np.zeros(top)
-        np.add.at(dc, y[y > 0] - 1, -(share * slope[np.arange(len(y)), y] / p)[y > 0])
-        np.add.at(dc, y[y < top], (share * slope[np.arange(len(y)), y + 1] / p)[y < top])
-        dw = np.bincount(cols, ds[owner], len(vocab)) - l2 * w
-        dg = np.cumsum(dc[::-1])[::-1] * np.r_[1.0, np.exp(gap[1:])]
+        dw, dg = slopes(w, gap, cols, owner, y, share, l2)
         gw += dw * dw
         gg += dg * dg
         w += rate * dw / np.sqrt(gw)
@@ -128,7 +133,7 @@ def _words(batches):
 def trained(docs: DataFrame, grades: DataFrame) -> Ordinal:
     """A model of docs (doc_id, text) and grades (doc_id, grade int from 0), on at most SAMPLE texts a grade."""
     known = grades.where("grade IS NOT NULL AND grade >= 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    counts = [r[0] for r in known.select("grade").distinct().orderBy("grade").limit(16).collect()]
+    counts = [r[0] for r in known.select("grade").distinct().orderBy("grade").collect()]
     picked = None
     for g in counts:
         part = known.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)

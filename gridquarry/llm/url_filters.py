@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: All times from this month on share one key of the join.
-LAST_MONTH = 2100 * 12 + 1
+#: All times up to the first and from the last of these months on share one key of the join.
+FIRST_MONTH, LAST_MONTH = 1990 * 12, 2100 * 12 + 1
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)"
 RESULTS = ("host", "matched_key", "action", "since", "allowed")
@@ -68,31 +68,33 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def _month(at: Column) -> Column:
-    return F.least(F.year(at) * 12 + F.month(at), F.lit(LAST_MONTH))
+    return F.greatest(F.least(F.year(at) * 12 + F.month(at), F.lit(LAST_MONTH)), F.lit(FIRST_MONTH))
 
 
 def filtered(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with host, matched_key, action, since and allowed."""
     keep = [c for c in captures.columns if c.lower() not in RESULTS]
-    base = captures.select(*keep, host_of(F.col(url)).alias("host"))
+    base = captures.select(*(F.col(f"`{c}`") for c in keep), host_of(F.col(url)).alias("host"), F.col(url).alias("__of"), F.col(fetched).alias("__fetched"))
     asks = captures.select(F.col(url).alias("__url"), F.col(fetched).alias("__at")).where("__url IS NOT NULL AND __at IS NOT NULL").distinct()
     spans = intervals(entries)
     labels, segments = lengths(spans)
-    last = F.coalesce(_month(F.col("until")), F.lit(LAST_MONTH))
-    spans = spans.withColumn("month", F.explode(F.sequence(_month(F.col("since")), last)))
+    # intervals are dealt over the months that the captures have, however long they last
+    low, high = captures.select(_month(F.col(fetched)).alias("m")).agg(F.min("m"), F.max("m")).first()
+    from_, to = F.greatest(_month(F.col("since")), F.lit(low or FIRST_MONTH)), F.least(F.coalesce(_month(F.col("until")), F.lit(LAST_MONTH)), F.lit(high or FIRST_MONTH))
+    spans = spans.where(from_ <= to).withColumn("month", F.explode(F.sequence(from_, to)))
     asked = asks.withColumn("key", F.explode(keys_of(F.col("__url"), host_of(F.col("__url")), labels, segments))).withColumn("month", _month(F.col("__at")))
     hit = (
         asked.join(spans, ["key", "month"])
         .where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
         .groupBy("__url", "__at")
-        .agg(F.max(F.struct(F.length("key").alias("n"), F.col("action"), F.col("key"), F.col("since"))).alias("hit"))
+        .agg(F.max(F.struct(F.length("key").alias("n"), F.col("action"), F.col("key"), F.col("since"))).alias("__hit"))
     )
-    out = base.join(hit, (base[url] == hit["__url"]) & (base[fetched] == hit["__at"]), "left")
+    out = base.join(hit, (F.col("__of") == F.col("__url")) & (F.col("__fetched") == F.col("__at")), "left")
     return out.select(
-        *keep,
+        *(F.col(f"`{c}`") for c in keep),
         "host",
-        F.col("hit.key").alias("matched_key"),
-        F.col("hit.action").alias("action"),
-        F.col("hit.since").alias("since"),
-        (F.coalesce(F.col("hit.action"), F.lit("allow")) != "block").alias("allowed"),
+        F.col("__hit.key").alias("matched_key"),
+        F.col("__hit.action").alias("action"),
+        F.col("__hit.since").alias("since"),
+        (F.coalesce(F.col("__hit.action"), F.lit("allow")) != "block").alias("allowed"),
     )

@@ -109,6 +109,16 @@ def test_url_filters_of_any_length(spark):
     assert {r["page_id"]: r["allowed"] for r in url_filters.filtered(captures, entries.union(late)).collect()} == want | {7: True}
 
 
+def test_url_filters_odd_times_and_names(spark):
+    """Columns named like inner ones are kept; entries and captures of any year meet."""
+    captures = spark.createDataFrame([(1, "http://a.org/", "x", 0), (2, "http://b.org/", "y", 1)], "page_id long, url string, hit string, month int")
+    captures = captures.withColumn("key", F.lit("k")).withColumn("since", F.lit("s")).withColumn("until", F.lit("u")).withColumn("fetched", F.to_timestamp(F.when(F.col("page_id") == 1, "1971-05-05").otherwise("9990-01-01")))
+    entries = spark.createDataFrame([("a.org", "block", "0300-01-01"), ("a.org", "allow", "1972-01-01"), ("b.org", "block", "9000-01-01")], "key string, action string, at string").select("key", "action", F.to_timestamp("at").alias("since"))
+    rows = {r["page_id"]: r for r in url_filters.filtered(captures, entries).collect()}
+    assert [(rows[i]["hit"], rows[i]["month"], rows[i]["key"], rows[i]["until"], rows[i]["allowed"]) for i in (1, 2)] == [("x", 0, "k", "u", False), ("y", 1, "k", "u", False)]
+    assert url_filters.filtered(captures.withColumn("fetched", F.lit(None).cast("timestamp")), entries).where("allowed").count() == 2
+
+
 # ---- 2 ------------------------------------------------------------------------------------------------------------
 
 
@@ -301,6 +311,30 @@ def test_decontamination(spark, odd):
     assert decontam.contained(df.limit(0), it).count() == 0 and decontam.contained(df, it.limit(0)).count() == 0
 
 
+def test_small_items():
+    """Items of few shingles are never missed, in texts of any length; equal items give a row each."""
+    rng = random.Random(15)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(5 + i % 16))) for i in range(3000)] + [(9000, "same words in two items")] * 2
+    index = decontam.Index([(i, t.encode()) for i, t in items], 5, 80)
+    for i, t in items[:3000]:
+        w = [word() for _ in range(100)]
+        own = t.split()
+        if len(own) >= 14:
+            own[-1] = word()  # one shingle of ten or more is gone
+        at = rng.randrange(100)
+        assert i in [r[0] for r in index.found(" ".join(w[:at] + own + w[at:]).encode())]
+    assert [r[0] for r in index.found(b"x same words in two items y")] == [9000, 9000]
+
+
+def test_decontamination_of_odd_rows(spark):
+    """Columns that clash, repeated documents, equal items and null ids."""
+    docs = spark.createDataFrame([(1, "a b c d e f", "p"), (1, "a b c d e f", "p"), (None, "a b c d e f", "q"), (2, "a b c", "r")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(7, "b c d e f", 1), (7, "b c d e f", 1), (8, "A B c", 2), (None, "b C d e f", 3)], "item_id long, text string, doc_id long")
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in decontam.contained(docs, items).collect())
+    assert got == sorted([(d, i) for d in (1, 1, 0) for i in (7, 7, 0)] + [(2, 8)])
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------
 
 
@@ -421,6 +455,50 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.graded(odd.limit(0), toxicity.trained(odd, one)).count() == 0
 
 
+def plain_likelihood(w, gap, rows, y, share, l2):
+    """The penalised log-likelihood of a cumulative-link model, text by text and threshold by threshold."""
+    import math
+
+    cuts = [gap[0]]
+    for g in gap[1:]:
+        cuts.append(cuts[-1] + math.exp(g))
+    total = -0.5 * l2 * sum(x * x for x in w)
+    for feats, grade, weight in zip(rows, y, share):
+        s = sum(w[f] for f in feats)
+        above = [1.0] + [1 / (1 + math.exp(c - s)) for c in cuts] + [0.0]
+        total += weight * math.log(above[grade] - above[grade + 1])
+    return total
+
+
+def test_ordinal_slopes():
+    """Derivatives against differences of a plain loop, for two to five grades."""
+    rng = np.random.default_rng(13)
+    for top in (1, 2, 4):
+        rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(40)]
+        y = np.r_[np.arange(top + 1), rng.integers(0, top + 1, 39 - top)]
+        w, gap, share = rng.normal(size=6), rng.normal(size=top), rng.random(40)
+        got = np.concatenate(toxicity.slopes(w, gap, np.concatenate(rows), np.repeat(np.arange(40), [len(r) for r in rows]), y, share, 0.1))
+        for i in range(6 + top):
+            step = np.eye(6 + top)[i] * 1e-5
+            ends = [plain_likelihood((w + s[:6]).tolist(), (gap + s[6:]).tolist(), rows, y, share, 0.1) for s in (step, -step)]
+            assert abs(got[i] - (ends[0] - ends[1]) / 2e-5) < 1e-4
+
+
+def test_ordinal_grades(spark):
+    """Severity, grade and probabilities by a plain loop; any number of grades; clashing columns."""
+    docs = spark.createDataFrame([(g * 10 + i, f"word{'abcdefghijklmnopqrst'[g]}x " * 3 + f"filler {'qrstuvwxyz'[i]}q") for g in range(20) for i in range(6)], "doc_id long, text string").withColumn("severity", F.lit("clash"))
+    grades = docs.selectExpr("doc_id", "cast(doc_id div 10 as int) AS grade")
+    model = toxicity.trained(docs, grades)
+    assert len(model.cuts) == 19
+    known = dict(zip(model.vocab.tolist(), model.weights.tolist()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.graded(docs, model).collect():
+        s = sum(known.get(h, 0.0) for h in toxicity.words_of(texts[r["doc_id"]]).tolist())
+        above = [1.0] + [1 / (1 + np.exp(-max(-60, min(60, s - c)))) for c in model.cuts] + [0.0]
+        each = [a - b for a, b in zip(above, above[1:])]
+        assert np.isclose(r["severity"], sum(above[1:])) and each[r["grade"]] >= max(each) - 1e-12 and r["toxic"] == (above[1] >= 0.5)
+
+
 # ---- 9 ------------------------------------------------------------------------------------------------------------
 
 
