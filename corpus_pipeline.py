@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridquarry.llm import byte_bpe, decontam, near_dedup, quality, secrets
-from gridquarry.llm.common import written
+from gridquarry.llm.common import dropped, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,6 +28,12 @@ def _keyed(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), name)
 
 
+def _using(out: DataFrame, *tables: DataFrame) -> DataFrame:
+    """out, which names the written tables that it reads, so that run() can delete them once out is written."""
+    out.uses = tables
+    return out
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or their host's verdict rejects go."""
     return quality.judged(docs).where("kept").select(*COLUMNS)
@@ -38,12 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _keyed(docs, "pipeline-rows")
     groups = near_dedup.groups(rows.select(F.col(ROW).alias("doc_id"), "text"), k=5, percent=80)
     # row numbers stand for rows in the groups; which one stays is decided by doc_id, as a number's order says nothing
-    members = written(groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"), "kept"), "pipeline-groups")
+    members = groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"), "kept")
     shared = members.where("NOT kept").select("group").distinct()
     near = members.join(shared, "group").join(rows.select(ROW, "doc_id"), ROW)
     stays = near.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("stays"))
     gone = written(near.join(stays, "group").where(f"{ROW} <> stays").select(ROW), "pipeline-copies")
-    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
+    dropped(groups)
+    return _using(rows.join(gone, ROW, "left_anti").select(*COLUMNS), rows, gone)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(docs, "pipeline-rows")
     leaks = written(decontam.contained(rows.select(F.col(ROW).alias("doc_id"), "text"), items, k=5, percent=80).select(F.col("doc_id").alias(ROW)).distinct(), "pipeline-leaks")
-    return rows.join(leaks, ROW, "left_anti").select(*COLUMNS)
+    return _using(rows.join(leaks, ROW, "left_anti").select(*COLUMNS), rows, leaks)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each one's rows written as Parquet and read by the next."""
+    """All stages over the documents of sf_dir, each one's rows written as Parquet and read by the next; what a stage has read and written besides is deleted when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done: tuple[DataFrame, ...] = ()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        out = stage(spark, docs, sf_dir)
+        docs = written(out, f"pipeline-{name.replace(' ', '-')}")
+        for table in (*done, *getattr(out, "uses", ())):
+            dropped(table)
+        done = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
