@@ -56,6 +56,8 @@ WINDOW, RICH = 8, 16
 PLANT, REAL, PLANTED, DECOYS = 2, 800.0, 300.0, 100.0
 #: Words remembered by a task, the longest of them, and characters of a text that are looked at in one step.
 REMEMBERED, LONGEST, STEP = 100_000, 256, 1 << 18
+#: Rounds of training after which all windows are looked at again, and the least slope by which one still teaches.
+SETTLED, TAUGHT = 10, 1e-5
 #: Log-odds that a secret must have beyond what the sample says.
 MARGIN = 1.5
 # ---- fixed values: words before secrets, and what public kinds of keys begin with ---------------------------------
@@ -438,41 +440,27 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float
     own = np.full(len(sample), 1 / len(sample)) if weights is None else np.array(weights)
     for n, members in by.items():
         width = max(len(f) for i in members for f in sample[i][0])
-        x = np.full((len(members), n, width), DIMS, np.int32)
+        x = np.full((n, len(members), width), DIMS, np.int16)
         for r, i in enumerate(members):
             for t, f in enumerate(sample[i][0]):
-                x[r, t, : len(f)] = f
-        groups.append((x, np.array([sample[i][1] for i in members]), own[members]))
+                x[t, r, : len(f)] = f
+        groups.append((x, np.array([sample[i][1] for i in members]).T, own[members], np.ones(len(members), bool)))
     ge, gm = np.full((3, DIMS), 1e-8), np.full((3, 3), 1e-8)
-    for _ in range(rounds):
+    for k in range(rounds):
         padded = np.concatenate([emit, np.zeros((3, 1))], 1).T.copy()
         de, dm = np.zeros((3, DIMS + 1)), np.zeros((3, 3))
-        for x, y, w in groups:
-            m, n, _ = x.shape
-            e = np.zeros((m, n, 3))
-            for c in range(x.shape[2]):
-                e += padded[x[:, :, c]]
-            alpha, beta = np.empty((m, n, 3)), np.empty((m, n, 3))
-            alpha[:, 0] = e[:, 0] + move[OUTSIDE]
-            for t in range(1, n):
-                alpha[:, t] = e[:, t] + np.logaddexp.reduce(alpha[:, t - 1, :, None] + move, axis=1)
-            beta[:, -1] = move[:, OUTSIDE]
-            for t in range(n - 2, -1, -1):
-                beta[:, t] = np.logaddexp.reduce(move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            z = np.logaddexp.reduce(alpha[:, -1] + beta[:, -1], axis=1)
-            p = np.exp(alpha + beta - z[:, None, None])
-            diff = (np.eye(3)[y] - p) * w[:, None, None]
-            live = np.abs(diff).max(2) > 1e-10  # most tokens of plain prose soon teach nothing
-            rows, slope = x[live].ravel(), diff[live]
+        ways = np.exp(move)
+        for x, y, w, open_ in groups:
+            every = k % SETTLED == 0 or open_.all()  # windows that are right by far are looked at now and then
+            if not every:
+                x, y, w = x[:, open_], y[:, open_], w[open_]
+            slope = _slopes(x, y, w, padded, ways, dm)
+            if k % SETTLED == 0:
+                open_[:] = np.abs(slope).max((0, 2)) > TAUGHT
+            live = np.abs(slope).max(2) > 0
+            rows, slope = x[live].ravel(), slope[live]
             for tag in (BEGIN, INSIDE):
                 de[tag] += np.bincount(rows, np.repeat(slope[:, tag], x.shape[2]), DIMS + 1)
-            first = np.eye(3)[y[:, 0]] - p[:, 0]
-            dm[OUTSIDE] += w @ first
-            dm[:, OUTSIDE] += w @ (np.eye(3)[y[:, -1]] - p[:, -1])
-            for t in range(1, n):
-                pair = np.exp(alpha[:, t - 1, :, None] + move + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-                np.add.at(dm, (y[:, t - 1], y[:, t]), w)
-                dm -= np.tensordot(w, pair, 1)
         g = de[:, :DIMS] - l2 * emit
         g[OUTSIDE] = 0
         ge += g * g
@@ -483,6 +471,35 @@ def fitted(sample: list[tuple[list[np.ndarray], list[int]]], weights: list[float
     return Field(emit, move)
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, padded: np.ndarray, ways: np.ndarray, dm: np.ndarray) -> np.ndarray:
+    """Derivatives of the weighted log-likelihood by the scores of each token's tags, of windows of one length (token, window, feature); adds those by the moves to dm. Scaled forward and backward sums."""
+    n, m, width = x.shape
+    e = np.zeros((n, m, 3))
+    for c in range(width):
+        e += padded[x[:, :, c]]
+    e = np.exp(e - e.max(2, keepdims=True))
+    alpha, beta = np.empty((n, m, 3)), np.empty((n, m, 3))
+    alpha[0] = e[0] * ways[OUTSIDE]
+    beta[-1] = ways[:, OUTSIDE]
+    for t in range(1, n):
+        alpha[t - 1] /= np.maximum(alpha[t - 1].sum(1, keepdims=True), 1e-300)
+        alpha[t] = e[t] * (alpha[t - 1] @ ways)
+    for t in range(n - 2, -1, -1):
+        beta[t] = (e[t + 1] * beta[t + 1]) @ ways.T
+        beta[t] /= np.maximum(beta[t].sum(1, keepdims=True), 1e-300)
+    p = alpha * beta
+    p /= np.maximum(p.sum(2, keepdims=True), 1e-300)
+    slope = (np.eye(3)[y] - p) * w[None, :, None]
+    dm[OUTSIDE] += slope[0].sum(0)
+    dm[:, OUTSIDE] += slope[-1].sum(0)
+    for t in range(1, n):
+        np.add.at(dm, (y[t - 1], y[t]), w)
+        on = e[t] * beta[t]
+        z = np.maximum(((alpha[t - 1] @ ways) * on).sum(1), 1e-300)
+        dm -= ways * (alpha[t - 1].T @ (on * (w / z)[:, None]))
+    return slope
+
+
 def _word(rng: random.Random, letters: str, least: int, most: int) -> str:
     return "".join(rng.choices(letters, k=rng.randint(least, most)))
 
