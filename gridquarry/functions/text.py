@@ -40,7 +40,7 @@ def split_sentences(c: Column) -> Column:
     """Sentences: cut at a period before white space and a capital or parenthesis, not after an abbreviation. The
     cutting periods go, blank sentences too; null text gives null."""
     stops = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    cut = rf"(?<!(?<![A-Za-z.])(?i:{stops})\.{{0,4}})\.(?=\s+[A-Z(])"
+    cut = rf"\.(?=\s+[A-Z(])(?<!(?<![A-Za-z.])(?i:{stops})\.{{1,5}})"  # looks back at such periods alone
     return F.filter(F.transform(F.split(collapse_ws(c), cut), lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -62,6 +62,23 @@ def referenced_only(labels: DataFrame) -> DataFrame:
     return labels.where("NOT is_caption").join(keys, ["doc_id", "key"], "left_anti").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n").select(*COLUMNS)
 
 
+def scan_legends(lines: DataFrame, core: str = T.LABEL) -> DataFrame:
+    """scan_labels() with the legends that go on in later blocks, for lines with the rectangle of their block (bx0, by0, bx1, by1); others are scanned as they are.
+
+    The last caption of a block takes them, as its text reaches the block's end."""
+    if not {"bx0", "by0", "bx1", "by1"} <= set(lines.columns):
+        return scan_labels(lines, core)
+    marked = caption_lines(lines, core)
+    rect = [F.first(f"b{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    blocks = marked.groupBy(*BLOCK).agg(
+        *rect, _joined(F.collect_list(F.struct("line_no", "flat"))).alias("text"), F.max(F.length("flat")).alias("longest"), F.coalesce(F.bool_or(F.col("raw").isNotNull()), F.lit(False)).alias("has_caption")
+    )
+    found = scan_labels(lines, core)
+    last = found.where("is_caption").groupBy(*BLOCK).agg(F.max("pos").alias("end"))
+    captions = found.where("is_caption").join(last, list(BLOCK)).join(blocks.select(*BLOCK, "x0", "y0", "x1", "y1"), list(BLOCK)).withColumn("at_end", F.col("pos") == F.col("end"))
+    return absorb_legends(captions, blocks).select(*COLUMNS).unionByName(found.where("NOT is_caption").select(*COLUMNS))
+
+
 def absorb_legends(captions: DataFrame, blocks: DataFrame) -> DataFrame:
     """captions (doc_id, page, block_no, text, x0, y0, x1, y1 of their block, at_end) with the legend that follows in
     later blocks (doc_id, page, block_no, x0, y0, x1, y1, text, longest, has_caption).

@@ -82,8 +82,14 @@ def watermark(lines: DataFrame) -> DataFrame:
     return found.where(F.col("line_text").rlike(WATERMARK)).groupBy("doc_id").agg(F.min_by("line_text", "line_no").alias("watermark"))
 
 
+def preprints(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, preprint_pages, watermark (null if none), is_preprint of each document: markers on enough pages, or a watermark on page 1."""
+    marked = documents(pages).select("doc_id", "preprint_pages", "is_preprint")
+    return marked.join(watermark(lines), "doc_id", "left").select("doc_id", "preprint_pages", "watermark", (F.col("is_preprint") | F.col("watermark").isNotNull()).alias("is_preprint"))
+
+
 def documents(pages: DataFrame) -> DataFrame:
-    """doc_id, n_pages, total_chars, n_full, preprint_pages, is_scanned, is_preprint (without a watermark)."""
+    """doc_id, n_pages, total_chars, n_full, preprint_pages, is_scanned, is_preprint (without a watermark; see preprints())."""
     marked = F.exists(F.map_values(marker_counts(F.col("page_text"))), lambda n: n > 0)
     n, full = F.count("*"), F.count_if(has_full_page_image(F.col("images")))
     chars, hits = F.sum("n_chars"), F.count_if(marked)

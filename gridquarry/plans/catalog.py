@@ -9,6 +9,7 @@ from gridquarry.functions import keywords as K
 from gridquarry.functions import text as T
 from gridquarry.operators import audit, dual_read, labels, manifest, pages, panel, regions, stitch
 from gridquarry.sources.fixtures import fixture, table
+from gridquarry.sources.scratch import staged
 
 #: Rows for text functions that no table exercises.
 SAMPLES = """VALUES (1, 'Supplementary Table S3'), (2, 'TABLE  I.'), (3, 'Tab. II'), (4, 'Supplementary Data Figure 2:'), (5, 'Figs. 4'), (6, 'Extended Data Table 1'),
@@ -25,7 +26,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_mode_inventory(spark, sf_dir):
     """The list mode: captions, absent labels and keyword hits of every document."""
-    return labels.inventory(labels.scan_labels(_lines(spark, sf_dir)), WORDS)
+    return labels.inventory(staged(labels.scan_labels(_lines(spark, sf_dir)), "labels"), WORDS)
 
 
 def scan_labels(spark, sf_dir):
@@ -53,12 +54,19 @@ def split_sentences(spark, sf_dir):
 
 
 def cooccurrence(spark, sf_dir):
-    t = spark.sql(f"SELECT * FROM {TEXTS}")
+    """The literal cases and every line, with a label given by its page."""
+    lines = fixture(spark, sf_dir, "fx_lines").select(F.col("doc_id").alias("id"), F.col("line_text").alias("s"), F.concat(F.lit("Table "), (1 + F.col("page") % 4).cast("string")).alias("label"))
+    t = spark.sql(f"SELECT * FROM {TEXTS}").unionByName(lines)
     return t.select("id", F.size(T.split_sentences(F.col("s"))).alias("n_sentences"), F.array_join(K.cooccurring(F.col("s"), F.col("label"), WORDS), ";").alias("hits"))
 
 
+def _samples(spark, sf_dir):
+    """The literal cases and the text of every line."""
+    return spark.sql(f"SELECT * FROM {SAMPLES}").unionByName(fixture(spark, sf_dir, "fx_lines").select(F.col("doc_id").alias("id"), F.col("line_text").alias("s")))
+
+
 def label_keys(spark, sf_dir):
-    t = spark.sql(f"SELECT * FROM {SAMPLES}")
+    t = _samples(spark, sf_dir)
     key = T.normalize_label(F.col("s"))
     return t.select("id", key.alias("key"), T.label_kind(key).alias("kind"), T.is_supplementary(key).alias("supplementary"), F.coalesce(T.caption_label(F.col("s")), F.lit("")).alias("caption_label"))
 
@@ -104,6 +112,32 @@ def ocr_pages(spark, sf_dir):
     return p.select("doc_id", "page", "ocr_text_layer", best["height"].alias("raster_height"), pages.marker_counts(F.col("page_text"))["preprint"].alias("n_preprint"))
 
 
+def preprint_documents(spark, sf_dir):
+    """Documents that their pages or a line at the left edge of page 1 name a preprint."""
+    lines = fixture(spark, sf_dir, "fx_lines").select(
+        F.col("doc_id") % 1500 + 1, "page", "line_no", F.lit(0).alias("dir_x"), F.when(F.col("line_no") % 2 == 1, 1).otherwise(0).alias("dir_y"),
+        (F.length("line_text") + F.lit(0.0)).alias("x1"), F.lit(600.0).alias("page_width"), F.when(F.col("line_text").like("Table 1%"), F.concat(F.lit("arXiv: 2101.0"), (1000 + F.col("page")).cast("string"))).otherwise(F.col("line_text")).alias("line_text"),
+    ).toDF("doc_id", "page", "line_no", "dir_x", "dir_y", "x1", "page_width", "line_text")
+    return pages.preprints(_imaged(spark, sf_dir), lines).select("doc_id", "preprint_pages", F.coalesce("watermark", F.lit("")).alias("watermark"), "is_preprint")
+
+
+def page_gates(spark, sf_dir):
+    """Why the figure panel of a page is skipped, and what its keywords matched; pages as panels."""
+    p = fixture(spark, sf_dir, "fx_pages")
+    panels = p.select(
+        "doc_id", "page", F.col("vert_lines").alias("n_cells"), F.when(F.col("horiz_lines") > 9, F.col("horiz_lines") / 2.0).alias("native_px"),
+        K.keyword_hits(F.col("page_text"), ["journal"]).alias("caption_hits"), K.keyword_hits(F.col("page_text"), ["preprint"]).alias("image_hits"), (F.col("page") % 2 == 0).alias("searched"),
+    )
+    return panel.page_gates(panels.withColumn("image_hits", F.when(F.col("n_cells") % 2 == 0, F.col("image_hits")).otherwise(F.array().cast("array<string>")))).select("doc_id", "page", "gate", "matched_on")
+
+
+def absent_labels(spark, sf_dir):
+    """Labels that a document cites without a caption, with the keywords of the sentences that cite them."""
+    refs = labels.referenced_only(labels.scan_labels(_lines(spark, sf_dir)))
+    hits = K.cooccurring(F.col("text"), F.col("raw"), WORDS)
+    return refs.select("doc_id", "page", "key", F.array_join(hits, ";").alias("hits")).where("hits <> ''")
+
+
 def line_directions(spark, sf_dir):
     k = F.col("page") + F.length("line_text")
     lines = fixture(spark, sf_dir, "fx_lines").withColumn("dir_x", F.when(k % 3 == 0, 1).otherwise(0)).withColumn("dir_y", F.when(k % 3 == 0, 0).when(k % 3 == 1, 1).otherwise(-1))
@@ -127,13 +161,10 @@ def bands(spark, sf_dir):
     return panel.bands(b).select("panel_id", "band", F.round("center", 6).alias("center"))
 
 
-def _panel_boxes(spark, sf_dir):
-    return panel.drop_giants(panel.split_panel(panel.suppress(fixture(spark, sf_dir, "fx_boxes"))).where("NOT dropped").drop("dropped"))
-
-
 def panel_grid(spark, sf_dir):
     """Boxes of a figure panel on their grid: suppression, side panel, giants, geometry and snapping."""
-    boxes = _panel_boxes(spark, sf_dir)
+    kept = staged(panel.suppress(fixture(spark, sf_dir, "fx_boxes")), "panel-kept")
+    boxes = staged(panel.drop_giants(panel.split_panel(kept).where("NOT dropped").drop("dropped")), "panel-boxes")
     return panel.snapped(boxes, panel.geometry(boxes)).select("panel_id", "box_no", "i", "j")
 
 
@@ -178,8 +209,8 @@ def _candidates(spark, sf_dir):
     return _boxed(fixture(spark, sf_dir, "fx_candidates")).select("doc_id", "page", "cand_no", "rect")
 
 
-def _captions(spark, sf_dir, relation: str = "fx_captions"):
-    c = fixture(spark, sf_dir, relation).withColumn("x0", F.lit(0.0)).withColumn("x1", F.lit(100.0))
+def _captions(spark, sf_dir):
+    c = fixture(spark, sf_dir, "fx_captions").withColumn("x0", F.lit(0.0)).withColumn("x1", F.lit(100.0))
     return _boxed(c, "no_rect").select("doc_id", "page", "cap_no", "kind", "key", "text", "rect")
 
 
@@ -192,26 +223,14 @@ def nearest_regions(spark, sf_dir):
     return regions.nearest(_captions(spark, sf_dir), _candidates(spark, sf_dir))
 
 
-def nearest_regions_all(spark, sf_dir):
-    return regions.nearest(_captions(spark, sf_dir, "fx_all_captions"), _candidates(spark, sf_dir))
-
-
 def attached_captions(spark, sf_dir):
     return regions.attached_twice(_candidates(spark, sf_dir), _captions(spark, sf_dir))
 
 
-def attached_captions_all(spark, sf_dir):
-    return regions.attached_twice(_candidates(spark, sf_dir), _captions(spark, sf_dir, "fx_all_captions"))
-
-
 def unmatched_captions(spark, sf_dir):
     return _unmatched(_captions(spark, sf_dir))
 
 
-def unmatched_captions_all(spark, sf_dir):
-    return _unmatched(_captions(spark, sf_dir, "fx_all_captions"))
-
-
 def _unmatched(caps: DataFrame) -> DataFrame:
     exported = caps.where("cap_no = 1").select("doc_id", "key")
     hits = F.array_join(K.keyword_hits(F.col("text"), WORDS), ";")
@@ -225,14 +244,8 @@ def _haystacks(spark, sf_dir):
 
 
 def caption_ownership(spark, sf_dir):
-    caps = _captions(spark, sf_dir)
-    named = _haystacks(spark, sf_dir).join(caps.where("cap_no = 1 AND page = 1").select("doc_id", "kind", F.col("text").alias("caption")), "doc_id")
-    return regions.ownership(named, caps).select("doc_id", "table_no", "belongs")
-
-
-def caption_ownership_all(spark, sf_dir):
     """Every table with its document's first caption on any page; belongs is null for tables of documents without captions."""
-    caps = _captions(spark, sf_dir, "fx_all_captions")
+    caps = _captions(spark, sf_dir)
     first = caps.groupBy("doc_id").agg(F.min_by(F.struct("kind", F.col("text").alias("caption")), F.struct("page", "cap_no")).alias("c")).select("doc_id", "c.*")
     named = _haystacks(spark, sf_dir).join(first, "doc_id", "left")
     return regions.ownership(named, caps).select("doc_id", "table_no", F.when(F.col("caption").isNotNull(), F.col("belongs")).alias("belongs"))
@@ -251,11 +264,6 @@ def banded_cells(spark, sf_dir):
     return audit.banded_cells(cells, fixture(spark, sf_dir, "fx_words"), cells.select("doc_id", "table_no", "r0").distinct())
 
 
-def banded_cells_all(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    return audit.banded_cells(cells, fixture(spark, sf_dir, "fx_all_words"), cells.select("doc_id", "table_no", "r0").distinct())
-
-
 def _cell_grid(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_cells").select("doc_id", "table_no", (F.col("r0") + 2).alias("i"), F.col("c0").alias("j"), F.lower("text").alias("value"))
 
@@ -269,10 +277,6 @@ def merged_rows(spark, sf_dir):
     return audit.merged_rows(_cells(spark, sf_dir), _cell_grid(spark, sf_dir), fixture(spark, sf_dir, "fx_words"))
 
 
-def merged_rows_all(spark, sf_dir):
-    return audit.merged_rows(_cells(spark, sf_dir), _cell_grid(spark, sf_dir), fixture(spark, sf_dir, "fx_all_words"))
-
-
 def _tables(spark, sf_dir):
     t = fixture(spark, sf_dir, "fx_tables")
     return t.withColumn("header", F.split("header", r"\|")).withColumn("notes", F.array("note")).drop("note")
@@ -289,7 +293,7 @@ def stitched_tables(spark, sf_dir):
 
 
 def output_names(spark, sf_dir):
-    t = spark.sql(f"SELECT * FROM {SAMPLES}")
+    t = _samples(spark, sf_dir)
     key = F.when(F.col("id") % 3 != 0, T.normalize_label(F.col("s")))
     tid = manifest.table_id(key, F.col("id"), F.col("id") * 2)
     return t.select("id", tid.alias("table_id"), manifest.csv_name(tid, F.col("id")).alias("csv"), manifest.sanitized(F.col("s")).alias("folder"))
@@ -335,6 +339,6 @@ QUERIES = {
         page_rotation, document_features, ocr_pages, line_directions, nms, split_panel, drop_giants, bands, panel_grid, panel_fill, grid_shapes, dual_read_merge, dual_read_conflicts,
         table_measures, suspect_minus, region_chars, nearest_regions, attached_captions, unmatched_captions, caption_ownership, tall_rows, banded_cells, output_rows, merged_rows,
         table_audit, stitched_tables, output_names, manifest_rows, manifest_upsert, manifest_summary, csv_files,
-        nearest_regions_all, attached_captions_all, unmatched_captions_all, caption_ownership_all, banded_cells_all, merged_rows_all,
+        preprint_documents, page_gates, absent_labels,
     )
 }

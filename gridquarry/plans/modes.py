@@ -51,7 +51,7 @@ def _failure(rows: DataFrame, reason: Column, query: str, run_at: str, source_ty
 
 def list_mode(lines: DataFrame, keywords=()) -> DataFrame:
     """The caption inventory of every document."""
-    return labels.inventory(labels.scan_labels(lines), K.deduped(keywords))
+    return labels.inventory(labels.scan_legends(lines), K.deduped(keywords))
 
 
 def _absent(scanned: DataFrame, keywords: list[str], query: str, run_at: str) -> DataFrame:
@@ -88,7 +88,7 @@ def table_mode(
     """
     keywords = K.deduped(keywords)
     query, run_at = K.describe_query("table", keywords), _stamp(run_at)
-    scanned = staged(labels.scan_labels(lines), "labels")
+    scanned = staged(labels.scan_legends(lines), "labels")
     caps = labels.captions_of(scanned)
     codes = _exit_codes(page_rows, caps)
     live = codes.where("code = 0").select("doc_id")
@@ -163,7 +163,8 @@ def table_mode(
             F.lit("] but no text-layer table was extracted there - it may be a figure panel (try --mode figure) or a pure chart; check the page"),
         )
         parts.append(_failure(missed, reason, query, run_at))
-    preprints = pages.documents(page_rows).where("is_preprint").join(live, "doc_id", "left_semi").select("doc_id", F.lit("preprint_check").alias("table_id"), F.lit(1).alias("page"))
+    known = pages.preprints(page_rows, lines) if {"dir_x", "dir_y", "x1", "page_width"} <= set(lines.columns) else pages.documents(page_rows)
+    preprints = known.where("is_preprint").join(live, "doc_id", "left_semi").select("doc_id", F.lit("preprint_check").alias("table_id"), F.lit(1).alias("page"))
     parts.append(_failure(preprints, F.lit(manifest.PREPRINT), query, run_at, key=None))
     names = out.select("doc_id", "table_no", manifest.csv_name(manifest.table_id(F.col("key"), F.col("page"), F.col("seq")), F.col("page")).alias("name"))
     return Result(_union(parts), whole.join(names, ["doc_id", "table_no"]), codes)
@@ -177,7 +178,7 @@ def figure_mode(lines: DataFrame, page_rows: DataFrame, boxes: DataFrame, reads:
     native pixels of a cell (null without a raster)."""
     keywords = K.deduped(keywords)
     query, run_at = K.describe_query("figure", keywords), _stamp(run_at)
-    scanned = staged(labels.scan_labels(lines), "labels")
+    scanned = staged(labels.scan_legends(lines), "labels")
     caps = labels.captions_of(scanned)
     codes = _exit_codes(page_rows, caps)
     figs = caps.where("kind = 'figure'")
@@ -209,7 +210,10 @@ def figure_mode(lines: DataFrame, page_rows: DataFrame, boxes: DataFrame, reads:
     )
     ok = gated.where("gate = ''").withColumn("panel_id", F.struct("doc_id", "page"))
     wanted = boxes.join(ok.select("doc_id", "page"), ["doc_id", "page"], "left_semi").withColumn("panel_id", F.struct("doc_id", "page"))
-    split = staged(panel.split_panel(panel.suppress_sql(wanted.select("panel_id", "box_no", "x1", "y1", "x2", "y2", "score"))), "panel-boxes")
+    pages_ = F.concat_ws("/", F.col("panel_id.doc_id").cast("string"), F.col("panel_id.page").cast("string"))
+    named = wanted.select("panel_id", pages_.alias("name"), "box_no", "x1", "y1", "x2", "y2", "score")
+    kept = panel.suppress(named.drop("panel_id").withColumnRenamed("name", "panel_id")).join(named.select("panel_id", "name").distinct().withColumnRenamed("panel_id", "pair"), F.col("panel_id") == F.col("name"))
+    split = staged(panel.split_panel(kept.select(F.col("pair").alias("panel_id"), "box_no", "x1", "y1", "x2", "y2", "score")), "panel-boxes")
     cut = split.groupBy("panel_id").agg(F.count_if("dropped").alias("cut"))
     kept = panel.drop_giants(split.where("NOT dropped").drop("dropped"))
     geo = staged(panel.geometry(kept), "panel-grids")

@@ -140,10 +140,19 @@ m AS (SELECT doc_id, page, line_no, {hits('line_text')} AS a, {hits('content')}
 u AS (SELECT *, list_filter([{', '.join(map(_q, WORDS))}], lambda k: list_contains(a, k) OR list_contains(b, k)) AS h FROM m)
 SELECT doc_id, page, line_no, {joined('h')} AS hits, CASE WHEN len(h) = 0 THEN '' WHEN len(a) > 0 AND len(b) > 0 AND a <> b THEN 'caption+cell' WHEN len(a) > 0 THEN 'caption' ELSE 'cell' END AS matched_on FROM u""",
     "split_sentences": f"WITH s AS (SELECT doc_id, {sentences('text')} AS xs FROM documents) SELECT doc_id, CAST(unnest(range(len(xs))) AS INT) AS pos, unnest(xs) AS sentence FROM s",
-    "cooccurrence": f"WITH t AS (SELECT * FROM ({TEXTS.rsplit(' AS t(', 1)[0]}) AS t(id, s, label)), x AS (SELECT id, {sentences('s')} AS xs, lower(label) AS lab FROM t), "
-    f"y AS (SELECT id, unnest(list_filter(xs, lambda s: contains(lower(s), lab))) AS s FROM x), z AS (SELECT id, unnest({hits('s')}) AS h FROM y) "
-    "SELECT id, CAST(len(xs) AS INT) AS n_sentences, coalesce((SELECT string_agg(DISTINCT h, ';' ORDER BY h) FROM z WHERE z.id = x.id), '') AS hits FROM x",
-    "label_keys": f"WITH t AS (SELECT id, s, {norm_label('s')} AS key FROM ({SAMPLES.rsplit(' AS t(', 1)[0]}) AS t(id, s)) SELECT id, key, {KIND} AS kind, starts_with(key, 'supp ') AS supplementary, coalesce({put(CAPTION, flat('s'))}, '') AS caption_label FROM t",
+    "cooccurrence": f"""WITH t AS (SELECT * FROM ({TEXTS.rsplit(' AS t(', 1)[0]}) AS t(id, s, label) UNION ALL SELECT doc_id, line_text, 'Table ' || (1 + page % 4) FROM fx_lines), x AS (SELECT id, {sentences('s')} AS xs, lower(label) AS lab FROM t)
+SELECT id, CAST(len(xs) AS INT) AS n_sentences, coalesce(array_to_string(list_sort(list_distinct(flatten(list_transform(list_filter(xs, lambda s: contains(lower(s), lab)), lambda q: {hits('q')})))), ';'), '') AS hits FROM x""",
+    "absent_labels": f"""WITH {LABELS}, x AS (SELECT doc_id, page, key, {sentences('text')} AS xs, lower(raw) AS lab FROM absent),
+y AS (SELECT doc_id, page, key, coalesce(array_to_string(list_sort(list_distinct(flatten(list_transform(list_filter(xs, lambda s: contains(lower(s), lab)), lambda q: {hits('q')})))), ';'), '') AS hits FROM x)
+SELECT * FROM y WHERE hits <> ''""",
+    "preprint_documents": r"""WITH l AS (SELECT doc_id % 1500 + 1 AS doc_id, line_no, CASE WHEN line_text LIKE 'Table 1%' THEN 'arXiv: 2101.0' || (1000 + page) ELSE line_text END AS t FROM fx_lines WHERE page = 1 AND line_no % 2 = 1 AND length(line_text) <= 0.08 * 600.0),
+w AS (SELECT doc_id, arg_min(t, line_no) AS watermark FROM l WHERE regexp_matches(t, '(?i)(?:arXiv|bioRxiv|medRxiv|Research\s*Square|SSRN|ChemRxiv)\s*:?\s*[0-9]{4}\.[0-9]{4,5}') GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(page_text, '(?i)bioRxiv|medRxiv|preprint|peer review|peer-review')) AS k FROM fx_pages GROUP BY doc_id)
+SELECT p.doc_id, k AS preprint_pages, coalesce(watermark, '') AS watermark, k / n >= 0.4 OR watermark IS NOT NULL AS is_preprint FROM p LEFT JOIN w ON w.doc_id = p.doc_id""",
+    "page_gates": """WITH g AS (SELECT doc_id, page, page % 2 = 0 AS searched, page_text LIKE '%journal%' AS c, page_text LIKE '%preprint%' AND vert_lines % 2 = 0 AS i,
+  CASE WHEN vert_lines < 20 THEN 'chart' WHEN horiz_lines > 9 AND horiz_lines / 2.0 < 10.5 THEN 'low_resolution' WHEN page % 2 = 0 AND NOT page_text LIKE '%journal%' AND NOT (page_text LIKE '%preprint%' AND vert_lines % 2 = 0) THEN 'no_match' ELSE '' END AS gate FROM fx_pages)
+SELECT doc_id, page, gate, CASE WHEN NOT searched OR gate <> '' THEN '' WHEN c THEN 'caption' ELSE 'image_text' END AS matched_on FROM g""",
+    "label_keys": f"WITH t AS (SELECT id, s, {norm_label('s')} AS key FROM (SELECT * FROM ({SAMPLES.rsplit(' AS t(', 1)[0]}) AS t(id, s) UNION ALL SELECT doc_id, line_text FROM fx_lines)) SELECT id, key, {KIND} AS kind, starts_with(key, 'supp ') AS supplementary, coalesce({put(CAPTION, flat('s'))}, '') AS caption_label FROM t",
     "text_norms": f"""WITH t AS (SELECT * FROM ({SAMPLES.rsplit(' AS t(', 1)[0]}) AS t(id, s) UNION ALL SELECT 0, value FROM fx_grid)
 SELECT id, s, {flat('s')} AS collapsed, regexp_replace(s, '(?i)^/(?:{'|'.join(T.SPACE_GLYPHS)})space{WS}*', '') AS glyphs, {put(NORM, 's')} AS norm, {put(SIG, 's')} AS signature,
   regexp_matches(s, '[a-z]-{WS}+[a-z]') AS broken, regexp_matches(s, '(?i)\\({WS}*continued{WS}*\\)') AS continued, coalesce(array_to_string(list_sort({put(CAPWORDS, 's')}), ' '), '') AS words FROM t""",
@@ -183,10 +192,10 @@ FROM fx_candidates c LEFT JOIN s ON c.doc_id = s.doc_id AND c.page = s.page AND
     "nearest_regions": f"WITH {RANKED} SELECT doc_id, page, cap_no, cand_no FROM n WHERE n = 1",
     "unmatched_captions": f"WITH e AS (SELECT DISTINCT doc_id, key FROM fx_captions WHERE cap_no = 1), c AS (SELECT *, {joined(hits('text'))} AS hits FROM fx_captions) SELECT doc_id, page, cap_no, key, hits FROM c WHERE hits <> '' AND (doc_id, key) NOT IN (SELECT (doc_id, key) FROM e)",
     "caption_ownership": f"""WITH h AS (SELECT doc_id, table_no, lower({flat("coalesce(string_agg(value, ' ' ORDER BY j, value) FILTER (i = 0), '') || ' ' || coalesce(string_agg(value, ' ' ORDER BY i, value) FILTER (j = 0), '')")}) AS hay FROM fx_grid GROUP BY doc_id, table_no),
-t AS (SELECT h.*, c.kind, c.text AS caption FROM h JOIN fx_captions c ON c.doc_id = h.doc_id AND cap_no = 1 AND page = 1),
+t AS (SELECT h.*, c.kind, c.text AS caption FROM h LEFT JOIN (SELECT * FROM fx_captions QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, cap_no) = 1) c ON c.doc_id = h.doc_id),
 w AS (SELECT DISTINCT doc_id, kind, text, {put(CAPWORDS, 'text')} AS ws FROM fx_captions),
-o AS (SELECT t.doc_id, t.table_no, w.text = t.caption AS own, len(list_filter(ws, lambda x: contains(hay, x))) AS n FROM t JOIN w ON w.doc_id = t.doc_id AND w.kind = t.kind)
-SELECT doc_id, table_no, coalesce(max(n) FILTER (own), 0) > 0 OR coalesce(max(n) FILTER (NOT own), 0) < 2 AS belongs FROM o GROUP BY doc_id, table_no""",
+o AS (SELECT t.doc_id, t.table_no, t.caption, w.text = t.caption AS own, len(list_filter(ws, lambda x: contains(hay, x))) AS n FROM t LEFT JOIN w ON w.doc_id = t.doc_id AND w.kind = t.kind)
+SELECT doc_id, table_no, CASE WHEN bool_or(caption IS NOT NULL) THEN coalesce(max(n) FILTER (own), 0) > 0 OR coalesce(max(n) FILTER (NOT own), 0) < 2 END AS belongs FROM o GROUP BY doc_id, table_no""",
     "tall_rows": """WITH h AS (SELECT doc_id, table_no, r0, bool_or(column_header) AS head FROM fx_cells GROUP BY ALL),
 c AS (SELECT doc_id, table_no, r0, c0, y1 - y0 AS h, row_number() OVER () AS id FROM fx_cells JOIN h USING (doc_id, table_no, r0) WHERE NOT no_box AND row_span = 1 AND NOT head AND y1 > y0),
 m AS (SELECT doc_id, table_no, c0, median(h) AS med FROM c GROUP BY ALL HAVING count(*) >= 6),
@@ -262,7 +271,7 @@ cl AS (SELECT panel_id, CAST(unnest(range(len(cols))) AS INT) AS j, unnest(cols)
 ni AS (SELECT fb.panel_id, box_no, arg_min(i, abs(ry - cy) + i * 1e-12) AS i, min(abs(ry - cy)) AS dy FROM fb JOIN rr ON rr.panel_id = fb.panel_id GROUP BY ALL),
 nj AS (SELECT fb.panel_id, box_no, arg_min(j, abs(kx - cx) + j * 1e-12) AS j, min(abs(kx - cx)) AS dx FROM fb JOIN cl ON cl.panel_id = fb.panel_id GROUP BY ALL)
 SELECT ni.panel_id, ni.box_no, i, j FROM ni JOIN nj ON nj.panel_id = ni.panel_id AND nj.box_no = ni.box_no JOIN ge ON ge.panel_id = ni.panel_id WHERE dy <= 0.6 * pitch AND dx <= mw * 0.6""",
-    "output_names": f"""WITH t AS (SELECT id, s, CASE WHEN id % 3 <> 0 THEN {norm_label('s')} END AS key FROM ({SAMPLES.rsplit(' AS t(', 1)[0]}) AS t(id, s)),
+    "output_names": f"""WITH t AS (SELECT id, s, CASE WHEN id % 3 <> 0 THEN {norm_label('s')} END AS key FROM (SELECT * FROM ({SAMPLES.rsplit(' AS t(', 1)[0]}) AS t(id, s) UNION ALL SELECT doc_id, line_text FROM fx_lines)),
 n AS (SELECT id, s, CASE WHEN key IS NOT NULL THEN {put(SLUG, 'key')} ELSE printf('p%02d_t%d', id, id * 2) END AS table_id FROM t)
 SELECT id, table_id, printf('p%02d_%s.csv', id, table_id) AS csv, coalesce(nullif(trim(regexp_replace(regexp_replace(trim(s), '[^\\p{{L}}\\p{{N}}_.\\-]+', '_', 'g'), '_{{2,}}', '_', 'g'), '._-'), ''), 'output') AS folder FROM n""",
     "manifest_rows": f"WITH {MAN} {put(MANIFEST, _q(';'.join(sorted(WORDS))))}",
@@ -273,15 +282,4 @@ SELECT id, table_id, printf('p%02d_%s.csv', id, table_id) AS csv, coalesce(nulli
 r AS (SELECT doc_id, table_no, i, string_agg(v, ',' ORDER BY j, v) AS line, count(*) AS n FROM q GROUP BY ALL)
 SELECT doc_id, table_no, string_agg(CASE WHEN n = 1 AND line = '' THEN '""' ELSE line END || chr(13) || chr(10), '' ORDER BY i) AS content FROM r GROUP BY ALL""",
 }
-#: The same over all captions and words.
-for _name in ("nearest_regions", "attached_captions", "unmatched_captions", "caption_ownership", "banded_cells", "merged_rows"):
-    _SQL[f"{_name}_all"] = _SQL[_name].replace("fx_captions", "fx_all_captions").replace("fx_words", "fx_all_words")
-_SQL["caption_ownership_all"] = (
-    _SQL["caption_ownership_all"]
-    .replace("JOIN fx_all_captions c ON c.doc_id = h.doc_id AND cap_no = 1 AND page = 1", "LEFT JOIN (SELECT * FROM fx_all_captions QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, cap_no) = 1) c ON c.doc_id = h.doc_id")
-    .replace("FROM t JOIN w ON", "FROM t LEFT JOIN w ON")
-    .replace("coalesce(max(n) FILTER (own), 0) > 0", "CASE WHEN bool_or(caption IS NOT NULL) THEN coalesce(max(n) FILTER (own), 0) > 0")
-    .replace("< 2 AS belongs", "< 2 END AS belongs")
-    .replace("SELECT t.doc_id, t.table_no, w.text", "SELECT t.doc_id, t.table_no, t.caption, w.text")
-)
 ORACLE_SQL = {name: with_fixtures(sql) for name, sql in _SQL.items()}

@@ -59,14 +59,6 @@ SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) AS page,
        CAST((o_orderkey % 5) * 20 AS DOUBLE) AS x0, CAST((o_orderkey % 17) * 40 AS DOUBLE) AS y0,
        CAST((o_orderkey % 5) * 20 + 100 AS DOUBLE) AS x1, CAST((o_orderkey % 17) * 40 + 60 AS DOUBLE) AS y1
 FROM {orders}""",
-    "fx_captions": """
-SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) AS page,
-       CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey DESC) AS INT) AS cap_no,
-       CASE WHEN o_orderkey % 4 = 0 THEN 'figure' ELSE 'table' END AS kind,
-       CASE WHEN o_orderkey % 4 = 0 THEN 'fig ' ELSE 'table ' END || CAST(o_orderkey % 9 AS STRING) AS key,
-       CASE o_orderkey % 5 WHEN 0 THEN 'Response of tumours to Obj treatment' WHEN 1 THEN 'Mean survival by group' WHEN 2 THEN 'Summary of results' WHEN 3 THEN 'Cyclophosphamide dose in xenografts' ELSE 'Relapse and remission' END AS text,
-       o_orderkey % 11 = 0 AS no_rect, CAST((o_orderkey % 13) * 50 AS DOUBLE) AS y0, CAST((o_orderkey % 13) * 50 + 12 AS DOUBLE) AS y1
-FROM {orders} WHERE o_orderkey % 7 <> 0""",
     "fx_spans": """
 SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) AS page, l_linenumber AS span_no,
        CAST((l_partkey % 200) AS DOUBLE) AS x0, CAST((l_suppkey * 7 + l_partkey) % 720 AS DOUBLE) AS y0,
@@ -80,12 +72,8 @@ SELECT doc_id, table_no, 1 AS page, r0, c0, CASE WHEN min(q) = 50 THEN 2 ELSE 1
        CAST(c0 * 50 AS DOUBLE) AS x0, CAST(c0 * 50 + 40 AS DOUBLE) AS x1, 'Val ' || CAST(min(p % 6) AS STRING) AS text
 FROM (SELECT l_suppkey AS doc_id, CAST(l_orderkey % 8 AS INT) AS table_no, CAST(l_partkey % 9 AS INT) AS r0, CAST(l_linenumber % 5 AS INT) AS c0, l_quantity AS q, l_partkey AS p FROM {lineitem})
 GROUP BY doc_id, table_no, r0, c0""",
-    "fx_words": """
-SELECT l_suppkey AS doc_id, 1 AS page, CAST((l_partkey * 7 + l_linenumber) % 250 AS DOUBLE) AS x0, CAST((l_partkey * 3) % 270 AS DOUBLE) AS y0,
-       CAST((l_partkey * 7 + l_linenumber) % 250 + 6 AS DOUBLE) AS x1, CAST((l_partkey * 3) % 270 + 4 AS DOUBLE) AS y1
-FROM {lineitem} WHERE l_linenumber < 4""",
-    # Captions and words of all rows, which fx_captions and fx_words leave out in part; words lie beside the cells by their place.
-    "fx_all_captions": """
+    # Words lie in cells or beside them by their place.
+    "fx_captions": """
 SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) AS page,
        CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey DESC) AS INT) AS cap_no,
        CASE WHEN o_orderkey % 4 = 0 THEN 'figure' ELSE 'table' END AS kind,
@@ -93,7 +81,7 @@ SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) AS page,
        CASE o_orderkey % 5 WHEN 0 THEN 'Response of tumours to Obj treatment' WHEN 1 THEN 'Mean survival by group' WHEN 2 THEN 'Summary of results' WHEN 3 THEN 'Cyclophosphamide dose in xenografts' ELSE 'Relapse and remission' END AS text,
        o_orderkey % 11 = 0 AS no_rect, CAST((o_orderkey % 13) * 50 AS DOUBLE) AS y0, CAST((o_orderkey % 13) * 50 + 12 AS DOUBLE) AS y1
 FROM {orders}""",
-    "fx_all_words": """
+    "fx_words": """
 SELECT l_suppkey AS doc_id, 1 AS page, CAST((l_partkey * 7 + l_linenumber) % 250 + CASE WHEN l_quantity > 25 THEN 250 ELSE 0 END AS DOUBLE) AS x0, CAST((l_partkey * 3) % 270 AS DOUBLE) AS y0,
        CAST((l_partkey * 7 + l_linenumber) % 250 + CASE WHEN l_quantity > 25 THEN 250 ELSE 0 END + 6 AS DOUBLE) AS x1, CAST((l_partkey * 3) % 270 + 4 AS DOUBLE) AS y1
 FROM {lineitem}""",

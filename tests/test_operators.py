@@ -413,3 +413,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "out/run_1/1/p01_fig_1.csv").read_bytes().decode().split("\r\n")[0] == "1,1,1,1"
     assert (tmp_path / "out/run_1/1/p01_fig_1_flags.csv").read_bytes().decode().split("\r\n")[0] == "agree,agree,agree,agree"
     assert manifest.read_manifest(spark, str(tmp_path / "out/run_1/manifest")).where("query = 'figure:all'").count() == 2
+
+
+def test_legends_in_modes(spark):
+    """Captions go on in the next block close below in the list mode, if lines have the rectangles of their blocks."""
+    long = "the second block goes on with the legend of the table, a xenograft."
+    rows = [
+        (1, 1, 0, 1, "Table 1. First part of the legend.", 0.0, 100.0, 200.0, 110.0),
+        (1, 1, 1, 1, long, 0.0, 115.0, 200.0, 125.0),
+        (1, 1, 2, 1, "Prose far below that is long enough to be a legend, but not close.", 0.0, 300.0, 200.0, 310.0),
+        (1, 2, 0, 1, "Table 2. Alone.", 0.0, 100.0, 200.0, 110.0),
+        (1, 2, 1, 1, "Fig. 3. Another caption, long enough to be taken for a legend.", 0.0, 112.0, 200.0, 120.0),
+    ]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, block_no int, line_no int, line_text string, bx0 double, by0 double, bx1 double, by1 double")
+    got = {r["label"]: (r["caption_legend"], r["matched_keywords"]) for r in modes.list_mode(lines, ["xenograft"]).collect()}
+    assert got == {
+        "Table 1": (f"Table 1. First part of the legend. {long}", "xenograft"), "Table 2": ("Table 2. Alone.", ""), "Fig. 3": (rows[4][4], ""),
+    }
+    plain = {r["label"]: r["caption_legend"] for r in modes.list_mode(lines.drop("bx0"), []).collect()}
+    assert plain["Table 1"] == "Table 1. First part of the legend."
+
+
+def test_inflections_by_rules():
+    from gridquarry.functions import keywords as K
+
+    assert K.inflections("toxicity") == sorted({"toxicity", "toxicitys", "toxicityes", "toxicityd", "toxicityed", "toxicitying", "toxicities"}, key=lambda f: (-len(f), f))
+    assert {"dosing", "dosed"} <= set(K.inflections("Dose")) and {"controlled", "controlling"} <= set(K.inflections("control")) and "boxxed" not in K.inflections("box")
+    assert K.inflections("PDX12") == ["pdx12"] and "dayies" not in K.inflections("day") and "days" in K.inflections("day")
+    assert K.body("in vivo+") == r"in\s+(?:" + "|".join(f.replace("+", r"\+") for f in K.inflections("vivo+")) + ")"
