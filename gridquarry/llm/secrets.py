@@ -616,6 +616,17 @@ def _ranks(batches):
 
 def _sampled(most: float):
     def run(batches):
+        known: dict[str, Word] = {}
+
+        def word(piece: str) -> Word:
+            if len(known) > REMEMBERED:
+                known.clear()
+            if (w := known.get(piece)) is None:
+                w = Word(piece)
+                if len(piece) <= LONGEST:
+                    known[piece] = w
+            return w
+
         types = (pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
         for b in batches:
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -623,7 +634,7 @@ def _sampled(most: float):
                 for rank, held, tags, first, near, key in _ranked(text, h):
                     if rank <= most:
                         for kind, parts, own in examples(held, tags, first, near, key):
-                            x = features([Word(p) for p in parts], first, first + len(own), d)
+                            x = features([word(p) for p in parts], first, first + len(own), d)
                             rows.append((rank, key - (1 << 63), kind, own, x.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["rank", "key", "kind", "tags", "features"])
