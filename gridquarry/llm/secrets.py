@@ -293,16 +293,26 @@ class Field:
         return tags[::-1]
 
     def outside(self, emits: np.ndarray) -> np.ndarray:
-        """Tokens that are outside in every best sequence: with any other tag, outside in its place (and begin for an inside that follows) scores more."""
+        """Tokens that are outside in every best sequence: with any other tag, outside in its place (and begin for an inside that follows) scores more.
+
+        Beside a token that is outside for sure, and at the ends, the neighbour's tag is known, so the bound is looked at again."""
         m = self.move
         follows = np.append((emits[1:, INSIDE] - emits[1:, BEGIN]), -np.inf)
-        gain = np.full(len(emits), -np.inf)
-        for tag in (BEGIN, INSIDE):
-            into = (m[:, tag] - m[:, OUTSIDE]).max()
-            on = (m[tag, :INSIDE] - m[OUTSIDE, :INSIDE]).max()
-            inside = m[tag, INSIDE] - m[OUTSIDE, BEGIN] + (m[INSIDE] - m[BEGIN]).max()
-            gain = np.maximum(gain, emits[:, tag] - emits[:, OUTSIDE] + into + np.maximum(on, inside + follows))
-        return gain < -1e-9
+        sure = np.zeros(len(emits), bool)
+        for _ in range(3):
+            before, after = np.append(True, sure[:-1]), np.append(sure[1:], True)
+            gain = np.full(len(emits), -np.inf)
+            for tag in (BEGIN, INSIDE):
+                into = np.where(before, m[OUTSIDE, tag] - m[OUTSIDE, OUTSIDE], (m[:, tag] - m[:, OUTSIDE]).max())
+                on = (m[tag, :INSIDE] - m[OUTSIDE, :INSIDE]).max()
+                inside = m[tag, INSIDE] - m[OUTSIDE, BEGIN] + (m[INSIDE] - m[BEGIN]).max()
+                ends = np.where(after, m[tag, OUTSIDE] - m[OUTSIDE, OUTSIDE], np.maximum(on, inside + follows))
+                gain = np.maximum(gain, emits[:, tag] - emits[:, OUTSIDE] + into + ends)
+            now = sure | (gain < -1e-9)
+            if (now == sure).all():
+                break
+            sure = now
+        return sure
 
     def decoded(self, emits: np.ndarray) -> list[tuple[int, list[int]]]:
         """The best tags of a whole text as runs (first token, tags); tokens in no run are outside."""
