@@ -55,7 +55,7 @@ WINDOW, RICH = 8, 16
 #: Of how many windows one gets a planted secret or decoy, and what all windows as they are, with secrets and with decoys weigh.
 PLANT, REAL, PLANTED, DECOYS = 2, 800.0, 300.0, 100.0
 #: Words remembered by a task, the longest of them, and characters of a text that are looked at in one step.
-REMEMBERED, LONGEST, STEP = 100_000, 256, 1 << 18
+REMEMBERED, LONGEST, STEP = 200_000, 256, 1 << 18
 #: Rounds of training after which all windows are looked at again, and the least slope by which one still teaches.
 SETTLED, TAUGHT = 10, 1e-5
 #: Log-odds that a secret must have beyond what the sample says.
@@ -144,10 +144,15 @@ def pieces(text: str) -> list[str]:
 def traits(word: str) -> tuple:
     """What a word itself shows, of all its characters."""
     n = len(word)
-    runs = "a" if word.islower() and word.isalpha() else _classes(word)
+    hard = max(map(len, word.translate(_SOFT).split()), default=0)
+    if word.isalpha() and word.islower():  # most words, by the same rules
+        return (
+            "a", min(n // 4, 12) if n < 64 else 13 + min(n.bit_length() - 7, 6), 0, not word.strip("abcdef"), n >= 16, False, False, True,
+            10 * len(set(word)) // min(n, 24), False, 1, min(hard, 8), 10 // n if n >= 6 else -1,
+        )
+    runs = _classes(word)
     digits = 0 if word.isalpha() else sum(map(str.isdigit, word))
     upper = runs != "a" and not digits and word.isupper() and word.isalpha() or bool(digits) and all(c.isupper() or c.isdigit() for c in word)
-    hard = max(map(len, word.translate(_SOFT).split()), default=0)
     return (
         runs[:12], min(n // 4, 12) if n < 64 else 13 + min(n.bit_length() - 7, 6), 10 * digits // n, not word.strip("0123456789abcdef"), n >= 16, upper, word[:4] == "AKIA", digits < n,
         10 * len(set(word)) // min(n, 24), digits > 0 and n >= LEAST, min(len(runs), 12), min(hard, 8), 10 * len(runs) // n if n >= 6 else -1,
@@ -298,21 +303,25 @@ class Field:
         Beside a token that is outside for sure, and at the ends, the neighbour's tag is known, so the bound is looked at again."""
         m = self.move
         follows = np.append((emits[1:, INSIDE] - emits[1:, BEGIN]), -np.inf)
-        sure = np.zeros(len(emits), bool)
+        sure = np.ones(len(emits) + 2, bool)  # with the tokens' neighbours at both ends
+        sure[1:-1] = False
+        look = np.arange(len(emits))
         for _ in range(3):
-            before, after = np.append(True, sure[:-1]), np.append(sure[1:], True)
-            gain = np.full(len(emits), -np.inf)
+            before, after = sure[look], sure[look + 2]
+            e, next_ = emits[look], follows[look]
+            gain = np.full(len(look), -np.inf)
             for tag in (BEGIN, INSIDE):
                 into = np.where(before, m[OUTSIDE, tag] - m[OUTSIDE, OUTSIDE], (m[:, tag] - m[:, OUTSIDE]).max())
                 on = (m[tag, :INSIDE] - m[OUTSIDE, :INSIDE]).max()
                 inside = m[tag, INSIDE] - m[OUTSIDE, BEGIN] + (m[INSIDE] - m[BEGIN]).max()
-                ends = np.where(after, m[tag, OUTSIDE] - m[OUTSIDE, OUTSIDE], np.maximum(on, inside + follows))
-                gain = np.maximum(gain, emits[:, tag] - emits[:, OUTSIDE] + into + ends)
-            now = sure | (gain < -1e-9)
-            if (now == sure).all():
+                ends = np.where(after, m[tag, OUTSIDE] - m[OUTSIDE, OUTSIDE], np.maximum(on, inside + next_))
+                gain = np.maximum(gain, e[:, tag] - e[:, OUTSIDE] + into + ends)
+            now = gain < -1e-9
+            if not now.any():
                 break
-            sure = now
-        return sure
+            sure[look[now] + 1] = True
+            look = look[~now]
+        return sure[1:-1]
 
     def decoded(self, emits: np.ndarray) -> list[tuple[int, list[int]]]:
         """The best tags of a whole text as runs (first token, tags); tokens in no run are outside."""
@@ -338,16 +347,26 @@ class Scores(dict):
         self.turned = np.ascontiguousarray(emit.T)
         self.space, self.keyed = emit[:, _SPACE].T, emit[:, _KEYED].T
         self.dense = emit[:, _ids([f"density {d}" for d in range(9)])].T
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.kinds: dict[tuple, int] = {}
         self.own = np.zeros((0, 3))
         self.n = 0
-        self.score, self.flags = np.zeros((1024, 15)), np.zeros((1024, 4), np.int32)
+        self.score, self.flags, self.used = np.zeros((1024, 15)), np.zeros((1024, 4), np.int32), np.zeros(1024, np.int32)
         self.fresh()
 
+    def thin(self) -> None:
+        """Forgets all but the words that two texts or more have used, the most used half at most; earlier uses then count half."""
+        used = self.used[: self.n]
+        stays = np.argsort(-used, kind="stable")[: min(REMEMBERED // 2, int((used > 1).sum()))]
+        at = np.full(self.n, -1)
+        at[stays] = np.arange(len(stays))
+        kept = [(word, int(at[i])) for word, i in self.items() if at[i] >= 0]
+        self.clear()
+        self.update(kept)
+        self.n = n = len(stays)
+        self.score[:n], self.flags[:n], self.used[:n] = self.score[stays], self.flags[stays], used[stays] // 2
+        self.used[n:] = 0
+        self.kinds, self.own = {}, np.zeros((0, 3))
+
     def fresh(self) -> None:
         """Words that are known but have no row yet: their own kind, what they give to neighbours and flags; copies of others."""
         self.new: tuple[list, list, list, list] = ([], [], [], [])
@@ -359,6 +378,7 @@ class Scores(dict):
         while self.n > len(self.flags):
             self.score = np.concatenate([self.score, np.zeros_like(self.score)])
             self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
+            self.used = np.concatenate([self.used, np.zeros_like(self.used)])
         if self.new_kinds:
             ids = np.stack([_ids(word_features(k)) for k in self.new_kinds])
             self.own = np.concatenate([self.own, self.turned[ids].sum(1)])
@@ -403,9 +423,10 @@ class Scores(dict):
                 m = re.compile(r"\s").search(text, at + STEP)
                 end = m.start() if m else end
             if self.n > REMEMBERED:
-                self.forget()
-            found = np.array(list(map(self.__getitem__, PIECE.findall(text, at, end))), np.int64)
+                self.thin()
+            found = np.fromiter(map(self.__getitem__, PIECE.findall(text, at, end)), np.int64)
             self.settle()
+            self.used[found] += 1
             yield self.score[found], self.flags[found]
             at = end
 
