@@ -52,6 +52,7 @@ class Words:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.splitter = self._splitter(made)
+        self.plain = self._plain(made) if self.splitter else self.library
         suffix, vocab = made["model"].get("end_of_word_suffix") or "\0", self.library.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
@@ -65,12 +66,23 @@ class Words:
             return None
         return Splitter(first["pattern"]["Regex"])
 
+    @staticmethod
+    def _plain(made: dict):
+        """The same tokenizer for words that are normalised and split already, with one space between two."""
+        from tokenizers import Tokenizer
+
+        steps = [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, *made["pre_tokenizer"]["pretokenizers"][1:]]
+        tokens = [x for x in made.get("added_tokens") or () if not x["special"]]  # special ones are not looked for in texts
+        out = Tokenizer.from_str(json.dumps({**made, "normalizer": None, "pre_tokenizer": {**made["pre_tokenizer"], "pretokenizers": steps}, "added_tokens": tokens}))
+        out.encode_special_tokens = True
+        return out
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _each(self, words: list[str]) -> list[bytes]:
         """The ids of each word, from one text of all: a word's last piece ends in the file's suffix."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return self._whole(words)
