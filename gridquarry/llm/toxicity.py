@@ -126,8 +126,8 @@ def fitted(sample: list[tuple[np.ndarray, int]], rounds: int = 300, l2: float =
 
 def _words(batches):
     for b in batches:
-        rows = [words_of(t).view(np.int64) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), b.column(1)], ["words", "grade"])
+        rows = [words_of(t).tobytes() for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["words", "grade"])
 
 
 def trained(docs: DataFrame, grades: DataFrame) -> Ordinal:
@@ -141,8 +141,8 @@ def trained(docs: DataFrame, grades: DataFrame) -> Ordinal:
     if picked is None:
         return fitted([])
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")  # SAMPLE ids a grade
-    rows = texts.mapInArrow(frugal(_words), "words array<long>, grade int").collect()
-    return fitted([(np.array(r[0], np.int64).view(np.uint64), r[1]) for r in rows])
+    rows = texts.mapInArrow(frugal(_words), "words binary, grade int").collect()
+    return fitted([(np.frombuffer(r[0], np.uint64), r[1]) for r in rows])
 
 
 def _grade(shared):
