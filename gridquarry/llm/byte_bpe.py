@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import frugal
+from gridquarry.llm.common import frugal, kept, sliced
 from gridquarry.llm.pretokens import Memory, Splitter
 
 #: Pre-tokens of a generation whose ids a worker keeps.
@@ -101,20 +101,15 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
-
-
 def loaded(path: str, pattern: str) -> ByteBPE:
-    """The codec of a file, built once in each Python worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE(path, pattern)
-    return _LOADED[path, pattern]
+    """The codec of a file, built once in each Python worker as long as its tasks use it."""
+    return kept(("byte-level BPE", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def _encode(path: str, pattern: str, at: int):
     def run(batches):
         codec = loaded(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             ids = [codec.encode(t or "") for t in b.column(at).to_pylist()]
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))) if ids else pa.array([], pa.list_(pa.int32()))
@@ -135,7 +130,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
 def _decode(path: str, pattern: str):
     def run(batches):
         codec = loaded(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             rows = [None if x is None else codec.decode(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *b.columns[1:]], ["bytes", *b.schema.names[1:]])
 
@@ -153,7 +148,7 @@ def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", key: str
 def _digest(path: str, pattern: str):
     def run(batches):
         codec = loaded(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             ns, hashes, back = [], [], []
             for t in b.column(1).to_pylist():
                 ids = codec.encode(t or "").tolist()

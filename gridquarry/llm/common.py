@@ -113,17 +113,49 @@ def minima(hashes: np.ndarray, mult: np.ndarray, block: int = 512) -> np.ndarray
     return best
 
 
+#: What this worker keeps for later tasks, and the keys that its present task has asked for.
+_KEPT: dict = {}
+_ASKED: set = set()
+
+
+def kept(key, make):
+    """make(), once in each Python worker: it stays until a frugal task that did not ask for it ends."""
+    _ASKED.add(key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def asked_anew() -> None:
+    _ASKED.clear()
+
+
+def unasked_dropped() -> None:
+    for key in _KEPT.keys() - _ASKED:
+        del _KEPT[key]
+
+
+def sliced(batches, most: int = 1 << 21):
+    """The rows of Arrow batches in order, in slices of about `most` bytes, so that what is made of a slice is small beside its batch."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def frugal(run):
-    """A mapInArrow function that gives free memory back to the system when its task ends, as its worker lives on."""
+    """A mapInArrow function that gives free memory, and what other operators keep, back to the system when its task ends, as its worker lives on."""
 
     def wrapped(batches):
         import ctypes
 
         import pyarrow
 
+        asked_anew()
         try:
             yield from run(batches)
         finally:
+            unasked_dropped()
             pyarrow.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:

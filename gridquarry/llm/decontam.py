@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import frugal, seeds, shingle_hashes, word_hashes
+from gridquarry.llm.common import frugal, kept, seeds, shingle_hashes, word_hashes
 
 HASHES = 96
 #: Items of at most so many shingles are looked up by shingles, not by minima.
@@ -141,15 +141,9 @@ def _matches(keys: np.ndarray, members: np.ndarray, tags: np.ndarray) -> list[in
     return [n for a, b in zip(lo[hi > lo], hi[hi > lo]) for n in members[a:b].tolist()]
 
 
-#: The index that a worker holds, under the name of its block: tasks that follow do not build it anew.
-_HELD: dict[str, Index] = {}
-
-
 def _index(name: str, block: list[tuple[int, bytes]], k: int, percent: int) -> Index:
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = Index(block, k, percent)
-    return _HELD[name]
+    """The index of a block: tasks that follow in the same worker do not build it anew."""
+    return kept(("benchmark", name), lambda: Index(block, k, percent))
 
 
 def block_minima(hashes: np.ndarray, size: int) -> np.ndarray:

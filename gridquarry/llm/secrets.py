@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import frugal
+from gridquarry.llm.common import frugal, sliced
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns.
@@ -640,7 +640,7 @@ def examples(held: bool, tags: list[int], first: int, near: list[str], key: int)
 
 
 def _ranks(batches):
-    for b in batches:
+    for b in sliced(batches):
         for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in _ranked(text, h)], pa.float64())], ["rank"])
 
@@ -659,7 +659,7 @@ def _sampled(most: float):
             return w
 
         types = (pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
-        for b in batches:
+        for b in sliced(batches):
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows, d = [], density(text, candidates(text))
                 for rank, held, tags, first, near, key in _ranked(text, h):
@@ -727,7 +727,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def _scan(field_of):
     def run(batches):
         scores = Scores(field_of.value)
-        for b in batches:
+        for b in sliced(batches):
             cols: list[list] = [[] for _ in range(5)]
             for t in b.column(1).to_pylist():
                 t = t or ""
@@ -756,7 +756,7 @@ def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
 def _redact(field_of, at: int, mark: str):
     def run(batches):
         scores = Scores(field_of.value)
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column(at).to_pylist():
                 if t:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -711,3 +715,21 @@ def test_word_memory():
         text = "".join(rng.choice(rng.choice(pools[: 7 + i % 2])) for _ in range(rng.randrange(60)))
         want = own.library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text), np.uint32).tolist() == want, repr(text)
+
+
+def test_worker_memory(docs):
+    """Workers make their results in slices of a batch, and keep nothing of an operator that no longer runs."""
+    rows = docs.select("doc_id", "text").orderBy("doc_id").toArrow().combine_chunks()
+    batch = pa.concat_tables([rows] * (1 + (8 << 20) // rows.nbytes)).combine_chunks().to_batches()[0]
+    shared = SimpleNamespace(value=secrets.Field(np.zeros((3, secrets.DIMS)), np.zeros((3, 3))))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for run in (secrets._redact(shared, 1, "[SECRET]"), secrets._scan(shared), byte_bpe._encode(path, public_tokenizers.PATTERN, 1)):
+        out = list(run(iter([batch])))
+        assert len(out) > 2 and max(b.num_rows for b in out) < batch.num_rows // 2
+        assert pa.Table.from_batches(out).column(0).to_pylist() == batch.column(0).to_pylist()
+    held = weakref.ref(byte_bpe.loaded(path, public_tokenizers.PATTERN))
+    list(common.frugal(byte_bpe._encode(path, public_tokenizers.PATTERN, 1))(iter([batch.slice(0, 1)])))
+    assert held() is not None
+    list(common.frugal(secrets._redact(shared, 1, "[SECRET]"))(iter([batch.slice(0, 1)])))
+    gc.collect()
+    assert held() is None
