@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridquarry.llm.common import frugal, kept, sliced
 from gridquarry.llm.pretokens import Splitter, is_latin
 
 #: Bytes of a row group and of a page.
@@ -29,7 +30,6 @@ BYTES, KNOWN = 4 << 20, 400_000
 #: Bytes of the input, as Spark knows it, for each file, beyond one for each shuffle partition.
 FILE_BYTES = 1 << 29
 SCHEMA = "doc_id long, file int, local_start long, n_tokens long, ids array<int>"
-_LOADED: dict = {}
 
 
 class Words:
@@ -105,10 +105,8 @@ class Words:
 
 
 def tokenizer(path: str) -> Words:
-    """The tokenizer of a file, built once in each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Words(path)
-    return _LOADED[path]
+    """The tokenizer of a file, built once in each Python worker as long as its tasks use it."""
+    return kept(("token files", path), lambda: Words(path))
 
 
 def _encode(path: str, end: int):
@@ -129,7 +127,7 @@ def _encode(path: str, end: int):
             )
 
         ids, lists, size = [], [], 0
-        for b in batches:
+        for b in sliced(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 lists.append(own.encode(t or "") + tail)
@@ -151,7 +149,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, encodin
     by_size = size // FILE_BYTES if size < 1 << 56 else 0  # beyond that Spark does not know the size
     n = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(_encode(tokenizer_path, end), SCHEMA)
+    rows = dealt.mapInArrow(frugal(_encode(tokenizer_path, end)), SCHEMA)
     (
         rows.write.option("parquet.block.size", str(ROW_GROUP))
         .option("parquet.page.size", str(PAGE))
@@ -175,13 +173,14 @@ def read(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "
 
 
 def _crc(batches):
-    for b in batches:
+    for b in sliced(batches):
         ids = b.column(3)
-        flat, off = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        off = ids.offsets.to_numpy()
+        flat, off = ids.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype("<u4"), off - off[0]
         crcs = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(off[:-1], off[1:])]
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a folder, from its files."""
-    return read(spark, path).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path).mapInArrow(frugal(_crc), "doc_id long, start long, n_tokens long, ids_crc32 long")

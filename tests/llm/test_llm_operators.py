@@ -733,3 +733,16 @@ def test_worker_memory(docs):
     list(common.frugal(secrets._redact(shared, 1, "[SECRET]"))(iter([batch.slice(0, 1)])))
     gc.collect()
     assert held() is None
+
+
+def test_token_file_memory():
+    """Check sums are made in slices of a batch, and the tokenizer goes when another operator's task has run."""
+    lists = [list(range(i % 50)) for i in range(50_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50_000), pa.int64())] * 3 + [pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "start", "n_tokens", "ids"])
+    out = list(token_files._crc(iter([batch.slice(7)])))
+    assert len(out) > 2
+    assert pa.Table.from_batches(out).column(3).to_pylist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in lists[7:]]
+    held = weakref.ref(token_files.tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    list(common.frugal(lambda batches: batches)(iter([])))
+    gc.collect()
+    assert held() is None
